@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import op3_decontamination
+from .embedding_join import op8_embedding_join
 from .language_id import op1_language_id
 from .simhash import op10_simhash
 from .substring_dedup import op9_substring_dedup
 from .token_records import op2_token_records
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_decontamination, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_decontamination, op8_embedding_join, op9_substring_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
