@@ -116,34 +116,52 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(blocks: DataFrame, pairs: list[tuple[int, int]], dim: int, threshold: float) -> DataFrame:
-    """rep, n (weighted links to others), other (a tree link or null) over all block pairs."""
-    spark = blocks.sparkSession
-    todo = spark.createDataFrame(pairs, "i long, j long")
-    a = blocks.select(F.col("block").alias("i"), F.col("reps").alias("ri"), F.col("weights").alias("wi"), F.col("data").alias("xi"))
-    b = blocks.select(F.col("block").alias("j"), F.col("reps").alias("rj"), F.col("weights").alias("wj"), F.col("data").alias("xj"))
-    work = todo.join(a, "i").join(b, "j").select("i", "j", "ri", "wi", "xi", "rj", "wj", "xj")
+#: Blocks compared with one block in one task row.
+TILE = 32
+
+
+def _links(spark, files: list[str], pairs: list[tuple[int, int]], dim: int, threshold: float) -> DataFrame:
+    """rep, n (weighted links to others), other (a tree link or null) over all block pairs.
+
+    The work table has block numbers only; a task reads its blocks' files from the
+    shared folder, one at a time.
+    """
+    by: dict[int, list[int]] = {}
+    for i, j in pairs:
+        by.setdefault(i, []).append(j)
+    todo = [(files[i], [files[j] for j in js[at : at + TILE]]) for i, js in sorted(by.items()) for at in range(0, len(js), TILE)]
+
+    def load(file: str):
+        raw = shared.read_range(file)
+        n = int.from_bytes(raw[:8], "little")
+        x = np.frombuffer(raw, np.float64, offset=8 + 16 * n).reshape(n, dim)
+        return np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n), x
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                i, j, ri, wi, xi, rj, wj, xj = (batch.column(c)[at].as_py() for c in range(8))
-                ri, wi, rj, wj = (np.frombuffer(v, np.int64) for v in (ri, wi, rj, wj))
-                x, y = (np.frombuffer(v).reshape(-1, dim) for v in (xi, xj))
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            ri, wi, x = load(row["i"])
+            total, edges = np.zeros(len(ri)), []
+            for file in row["js"]:
+                same = file == row["i"]
+                rj, wj, y = (ri, wi, x) if same else load(file)
                 near = x @ y.T >= threshold
-                if i == j:
-                    near &= ~np.eye(len(x), dtype=bool)
-                left, right = near @ wj.astype(np.float64), near.T @ wi.astype(np.float64)
+                if same:
+                    np.fill_diagonal(near, False)
+                if not near.any():
+                    continue
+                total += near @ wj.astype(np.float64)
+                if not same:
+                    right = near.T @ wi.astype(np.float64)
+                    edges.append((rj, right, [None] * len(rj), right > 0))
                 tree = _forest(near)
-                reps = [ri, *([rj] if i != j else []), ri[[r for r, _ in tree]]]
-                counts = [left.astype(np.int64), *([right.astype(np.int64)] if i != j else []), np.zeros(len(tree), np.int64)]
-                others = [None] * (len(ri) + (len(rj) if i != j else 0)) + rj[[c for _, c in tree]].tolist()
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(counts)), pa.array(others, pa.int64())], ["rep", "n", "other"])
-                keep = np.concatenate(counts) > 0
-                keep[len(keep) - len(tree) :] = True
+                edges.append((ri[[r for r, _ in tree]], np.zeros(len(tree)), rj[[c for _, c in tree]].tolist(), np.ones(len(tree), bool)))
+            edges.append((ri, total, [None] * len(ri), total > 0))
+            for rep, n, other, keep in edges:
+                out = pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n.astype(np.int64)), pa.array(other, pa.int64())], ["rep", "n", "other"])
                 yield out.filter(pa.array(keep))
 
-    return work.repartition(max(1, min(len(pairs), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "i", "j").mapInArrow(f, "rep long, n long, other long")
+    table = spark.createDataFrame(todo, "i string, js array<string>")
+    return table.repartition(max(1, min(len(todo), 4096))).mapInArrow(f, "rep long, n long, other long")
 
 
 def _one_size(reps: DataFrame, dim: int, threshold: float, grid_dims: int, block: int) -> DataFrame:
@@ -152,6 +170,8 @@ def _one_size(reps: DataFrame, dim: int, threshold: float, grid_dims: int, block
     axes = principal(reps, dim, grid_dims)
     k = axes.shape[1]
 
+    folder = shared.shared_path(spark, "vector-blocks")
+
     def cells(cols):
         at = np.floor(_unit(cols[0], dim) @ axes / max(eps, 1e-3)).astype(np.int64) + (1 << 13)
         key = np.zeros(len(at), np.int64)
@@ -171,9 +191,11 @@ def _one_size(reps: DataFrame, dim: int, threshold: float, grid_dims: int, block
             for at in range(0, len(reps_), block):
                 some = x[at : at + block]
                 p = some @ axes
-                row = [(part << 32) + n, reps_[at : at + block].tobytes(), weights[at : at + block].tobytes(), some.tobytes(), np.stack([p.min(0), p.max(0)]).tobytes()]
+                raw = b"".join((len(some).to_bytes(8, "little"), reps_[at : at + block].tobytes(), weights[at : at + block].tobytes(), some.tobytes()))
+                file = shared.publish(folder, f"block-{part:06d}-{n:06d}.bin", lambda out, raw=raw: out.write(raw))
+                box = np.stack([p.min(0), p.max(0)]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([file]), pa.array([box], pa.binary())], ["block", "file", "box"])
                 n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([v], pa.binary()) for v in row[1:])], ["block", "reps", "weights", "data", "box"])
 
         for b in batches:
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _unit(b.column(2), dim)))
@@ -189,10 +211,10 @@ def _one_size(reps: DataFrame, dim: int, threshold: float, grid_dims: int, block
     keyed = shared.append_columns(reps.select("rep", "weight", "v"), ["v"], "cell long", lambda: cells)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep").select("rep", "weight", "v")
-    blocks = shared.materialize(ordered.mapInArrow(to_blocks, "block long, reps binary, weights binary, data binary, box binary"), "blocks")
-    boxes = sorted((r.block, r.box) for r in blocks.select("block", "box").toLocalIterator())  # a row a block
-    pairs = _join(np.array([np.frombuffer(b).reshape(2, k) for _, b in boxes]), eps)
-    return _links(blocks, [(boxes[i][0], boxes[j][0]) for i, j in pairs], dim, threshold)
+    blocks = shared.materialize(ordered.mapInArrow(to_blocks, "block long, file string, box binary"), "blocks")
+    boxes = sorted((r.block, r.file, r.box) for r in blocks.toLocalIterator())  # a row a block
+    pairs = _join(np.array([np.frombuffer(b).reshape(2, k) for *_, b in boxes]), eps)
+    return _links(spark, [file for _, file, _ in boxes], pairs, dim, threshold)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, grid_dims: int = GRID_DIMS, block: int = BLOCK) -> DataFrame:
