@@ -6,10 +6,11 @@ from . import warc
 from .decontamination import op3_decontamination
 from .embedding_join import op8_embedding_join
 from .language_id import op1_language_id
+from .packing import op4_packing
 from .simhash import op10_simhash
 from .substring_dedup import op9_substring_dedup
 from .token_records import op2_token_records
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_decontamination, op5_warc, op8_embedding_join, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_records, op3_decontamination, op4_packing, op5_warc, op8_embedding_join, op9_substring_dedup, op10_simhash)}
 ORACLE_SQL = {"op5_warc": warc.ORACLE}
