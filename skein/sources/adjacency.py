@@ -118,7 +118,7 @@ def write_adjacency(graph: Graph, path: str) -> None:
     fsys, p = files.resolve(path)
     offsets = graph.csr().orderBy("id")
     targets = graph.edges.orderBy("src", "dst")
-    with fsys.open_output_stream(p) as out:
+    with fsys.open_output_stream(p, compression=None) as out:
         out.write(TAG + f"{graph.num_nodes}\n{graph.num_rels}\n".encode())
         for rows, name in ((offsets, "offset"), (targets, "dst")):
             lines: list[str] = []

@@ -60,7 +60,7 @@ def read_binary(spark: SparkSession, path: str, step: int = RANGE) -> Graph:
 def write_binary(graph: Graph, path: str) -> None:
     """Write the binary form, streamed through the driver in order (for exchange)."""
     fsys, p = files.resolve(path)
-    with fsys.open_output_stream(p) as out:
+    with fsys.open_output_stream(p, compression=None) as out:
         out.write(np.array([graph.num_nodes, graph.num_rels], "<u8").tobytes())
         for g in (graph, graph.invert()):
             for rows in (g.csr().orderBy("id").select("degree", "offset"), g.edges.orderBy("src", "dst").select("dst")):
