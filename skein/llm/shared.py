@@ -74,7 +74,7 @@ def publish(uri: str, name: str, write: Callable) -> str:
     fsys.create_dir(base, recursive=True)
     final = posixpath.join(base, name)
     temp = posixpath.join(base, f"_tmp-{uuid.uuid4().hex}-{name}")
-    with fsys.open_output_stream(temp) as out:
+    with fsys.open_output_stream(temp, compression=None) as out:  # never by the name's ending
         write(out)
     fsys.move(temp, final)
     return posixpath.join(uri, name)

@@ -183,7 +183,7 @@ def read(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             fsys, path = shared.filesystem(row["file"])
-            with fsys.open_input_stream(path) as stream:
+            with fsys.open_input_stream(path, compression=None) as stream:
                 out, n = [], 0
                 for raw in members(stream):
                     warc, http, payload = parse(raw)
