@@ -49,7 +49,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     rows = rows.withColumn("h", F.xxhash64("text"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
     picked = least.limit(MAX_LANGUAGES * SLOTS + 1).collect()
-    if len(picked) > MAX_LANGUAGES * SLOTS:
+    if len(picked) > MAX_LANGUAGES * SLOTS or len({r.lang for r in picked}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not picked:
         return {}
