@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def base(spark: SparkSession) -> str:
@@ -19,7 +19,19 @@ class Rounds:
     def __init__(self, spark: SparkSession, name: str, keep: int = 2):
         self.spark, self.root, self.keep, self.paths = spark, f"{base(spark)}/skein/{name}-{uuid.uuid4().hex}", keep, []
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """The table of a round, and aggregates of it that are taken while it is written.
+
+        A task that runs twice can raise them, so they may steer, and tell zero from
+        more, but are no result.
+        """
+        if not measures:
+            return self._write(df), {}
+        seen = Observation()
+        out = self._write(df.observe(seen, *[c.alias(k) for k, c in measures.items()]))
+        return out, seen.get
+
+    def _write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.paths.append(path)

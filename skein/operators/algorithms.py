@@ -87,7 +87,7 @@ def page_rank_delta(graph: Graph, max_iterations: int, mode: str = "reference",
     state = _start(graph, F.lit(True)).withColumns({"delta": F.lit(1.0 / n), "rank": F.lit(0.0)})
     mapper = EdgeMapper(message=lambda: F.col("delta") / F.col("degree"), combine=F.sum, has_output=False, source=("delta", "degree"))
     rounds = Rounds(graph.spark, "rank")
-    state, size = rounds.cut(state), n
+    (state, _), size = rounds.cut(state), n
     for k in range(max_iterations):
         total = graph.num_rels and state.where("active").agg(F.sum("degree")).first()[0] or 0
         way = "pull" if total > graph.threshold else "push"
@@ -103,7 +103,7 @@ def page_rank_delta(graph: Graph, max_iterations: int, mode: str = "reference",
             step = joined.select("id", "degree", change.alias("delta"), F.col("rank"))
             big = F.abs("delta" if how.relative else "rank") > F.col("rank") * threshold
             step = step.select("id", "degree", "delta", F.when(big, F.col("rank") + F.col("delta")).otherwise(F.col("rank")).alias("rank"), big.alias("active"))
-        state = rounds.cut(step)
+        state, _ = rounds.cut(step)
         row = state.agg(F.sum("delta" if how.signed_error else F.abs("delta")).alias("error"), F.count_if("active").alias("n")).first()
         size = row.n
         if row.error < tolerance:

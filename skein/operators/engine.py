@@ -138,18 +138,17 @@ def node_filter(state: DataFrame, frontier: NodeSubset, mapper: NodeMapper) -> t
 def iterate(graph: Graph, state: DataFrame, mapper: EdgeMapper, direction: str = "auto", max_rounds: int | None = None, name: str = "state") -> tuple[DataFrame, int]:
     """Edge maps until the frontier is empty. ``state`` has id, degree, active and more.
 
-    One job a round: the round's table is written to the shared folder, and its
-    frontier's size and degree sum are read from it for the next choice of direction.
+    One job a round: the round's table is written to the shared folder, and the size and
+    degree sum of its frontier are observed meanwhile for the next choice of direction.
     Returns the last state and the number of rounds.
     """
     rounds = Rounds(graph.spark, name)
-    state, done = rounds.cut(state), 0
-    while max_rounds is None or done < max_rounds:
-        row = state.where("active").agg(F.count("*").alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).alias("d")).first()
-        if not row.n:
-            break
-        way = direction if direction != "auto" else "pull" if is_dense(graph, row.d) else "push"
-        got = messages(graph, state.where("active"), mapper, way, row.n)
-        state = rounds.cut(apply_messages(state.drop("active"), got, mapper))
+    size = {"n": F.count_if("active"), "d": F.coalesce(F.sum(F.when(F.col("active"), F.col("degree"))), F.lit(0))}
+    state, seen = rounds.cut(state, **size)
+    done = 0
+    while seen["n"] and (max_rounds is None or done < max_rounds):
+        way = direction if direction != "auto" else "pull" if is_dense(graph, seen["d"]) else "push"
+        got = messages(graph, state.where("active"), mapper, way, seen["n"])
+        state, seen = rounds.cut(apply_messages(state.drop("active"), got, mapper), **size)
         done += 1
     return state, done
