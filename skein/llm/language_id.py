@@ -23,6 +23,9 @@ BLOCK = 4096
 MIN_BYTES, MIN_SHARE = 1, 0.001
 UNKNOWN = "und"
 
+#: Ends every dictionary and begins every block: its match pays for zstandard's least gain, so that
+#: short blocks are coded against the dictionary instead of being stored.
+_PAD = bytes(range(1, 49))
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -42,12 +45,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     of the smallest hash in each slot gives its first ``SLICE_CHARS`` characters, so
     the sample is deterministic, ignores repeats and is bounded by
     ``MAX_LANGUAGES * SLOTS * SLICE_CHARS``. Rows with null text or label, or
-    without letters, teach nothing. No labelled rows: no dictionaries.
+    without letters, teach nothing. No labelled rows: no dictionaries. Languages come in
+    order of their rows, which settles ties.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    least = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
+    least = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
     picked = least.limit(MAX_LANGUAGES * SLOTS + 1).collect()
     if len(picked) > MAX_LANGUAGES * SLOTS or len({r.lang for r in picked}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -56,10 +60,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     wanted = rows.where(F.col("h").isin(sorted({r.h for r in picked})))
     slices = wanted.groupBy("lang", "h").agg(F.max(F.substring("text", 1, SLICE_CHARS)).alias("t")).collect()
     pairs = {(r.lang, r.h) for r in picked}
-    made: dict[str, bytes] = {}
+    rows_of: dict[str, int] = {}
+    for r in picked:
+        rows_of[r.lang] = rows_of.get(r.lang, 0) + r.n
+    made = {k: b"" for k in sorted(rows_of, key=lambda k: (-rows_of[k], k))}
     for r in sorted(slices, key=lambda r: (r.lang, r.h)):
         if (r.lang, r.h) in pairs:
-            made[r.lang] = made.get(r.lang, b"") + canonical(r.t) + b" "
+            made[r.lang] += canonical(r.t) + b" "
     return made
 
 
@@ -73,15 +80,15 @@ class Coder:
             window_log=18, chain_log=16, hash_log=17, search_log=3, min_match=4, target_length=8,
             strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.coders = [
-            z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionaries[k], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress
+            z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionaries[k] + _PAD, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress
             for k in self.langs
         ]
 
     def lengths(self, text: str) -> list[int]:
         code = canonical(text)
-        blocks = [code[i : i + BLOCK] for i in range(0, len(code), BLOCK)]
+        blocks = [_PAD + code[i : i + BLOCK] for i in range(0, len(code), BLOCK)]
         return [sum(len(c(b)) for b in blocks) for c in self.coders]
 
     def classify(self, text: str | None) -> tuple[str, float, int, bool]:
@@ -100,7 +107,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """``docs`` with lang_pred, score, margin and rejected; only ``text`` is read.
 
     Null, empty and letterless texts are ``und``, score 0, rejected. Ties go to
-    the language first in order and are rejected. Without dictionaries all is ``und``.
+    the language with more labelled rows and are rejected. Without dictionaries all is ``und``.
     """
 
     def start():
