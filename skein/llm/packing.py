@@ -101,7 +101,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded(docs, tokenizer, id_col, text, end_id).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id", "ids")
+    # Range-sorting samples its input first: a written table is read twice, but texts are encoded once.
+    tokens = shared.materialize(encoded(docs, tokenizer, id_col, text, end_id), "encoded")
+    ordered = tokens.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id", "ids")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,6 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     # Every row carries its place in its range, so the table is read back in any order and any splits.
     laid = ordered.select("id", "n", "width", "ids").mapInArrow(lay, "id long, n long, width int, ids binary, part int, at long")
     laid = shared.materialize(laid, "laid-tokens")
+    shared.release(tokens)
     # A row a range: the tokens before each range are known once all are counted.
     sums = {r.part: r.n for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, total = {}, 0
