@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 SHARDS, ROUNDS, SLACK = 8, 5, 0.05
+#: Rounds end early when fewer than this share of all rows is admitted.
+LEAST = 0.001
 #: Rows in a window of the final layout; keys of more rows are dealt over several.
 UNIT = 4000
 
@@ -41,7 +43,6 @@ def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS
     each other. Keys of at most a tenth of a shard move whole; larger ones row by row,
     so that a key too large for any shard fills what room there is.
     """
-    spark = rows.sparkSession
     k = F.xxhash64(*key)
     state = shared.materialize(rows.withColumn("_k", k).withColumn("label", F.pmod(F.xxhash64(F.lit(1), id_col, *key), F.lit(shards)).cast("int")), "labels")
     for r in range(rounds):
@@ -53,6 +54,7 @@ def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS
         # The most frequent label; ties by a hash, so that they don't all go to one shard.
         rank = F.struct("n", F.xxhash64("_k", "label"), "label")
         best = cells.groupBy("_k").agg(F.max(rank).alias("top"), F.sum("n").alias("size")).where("size > 1").select(F.col("_k").alias("_b"), F.col("top.label").alias("want"), "size")
+        best = shared.materialize(best, "wishes")  # so that the join below has exchanges that can be split where a key is hot
         moves = state.join(best, F.col("_k") == F.col("_b"), "left").drop("_b")
         moves = shared.materialize(moves.withColumn("want", F.coalesce("want", "label")), "moves")
         counted = moves.groupBy("label", "want").agg(F.count("*").alias("n")).collect()  # shards squared rows
@@ -65,12 +67,18 @@ def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS
             state = moves.drop("want", "size")
             break
         share = _quotas(flows, sizes, shards, slack)
-        table = spark.createDataFrame([(a, b, f) for (a, b), f in share.items()], "_from int, _to int, share double")
+        admitted = sum(flows[p] * f for p, f in share.items())
+        if admitted < LEAST * sum(sizes.values()):
+            shared.release(state)
+            state = moves.drop("want", "size")
+            break
+        # At most shards squared entries, as an expression: no join.
+        table = F.create_map(*[F.lit(x) for (a, b), f in sorted(share.items()) for x in (a * shards + b, float(f))])
         small = F.coalesce(F.col("size"), F.lit(0)) <= sum(sizes.values()) / shards / 10
         u = F.pmod(F.when(small, F.xxhash64(F.lit(r), "_k")).otherwise(F.xxhash64(F.lit(r), "_k", id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        joined = moves.join(F.broadcast(table), (F.col("label") == F.col("_from")) & (F.col("want") == F.col("_to")), "left")
-        step = joined.withColumn("label", F.when(u < F.coalesce("share", F.lit(0.0)), F.col("want")).otherwise(F.col("label")))
-        step = shared.materialize(step.drop("want", "size", "_from", "_to", "share"), "labels")
+        part = F.coalesce(F.try_element_at(table, F.col("label") * shards + F.col("want")), F.lit(0.0))
+        step = moves.withColumn("label", F.when(u < part, F.col("want")).otherwise(F.col("label")))
+        step = shared.materialize(step.drop("want", "size"), "labels")
         shared.release(state)
         shared.release(moves)
         state = step
