@@ -1,16 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut in sentences (at . ! ? and line ends), long ones in pieces of at
-most MAX_WORDS words, so a long passage always holds several pieces. Every run
-of RUN consecutive pieces with MIN_WORDS words or more is hashed; runs are joined
-over the whole corpus, and the pieces of each run that is not its first
-occurrence are removed. The first occurrence is the one with the least id
-(null ids last), then the least place in its text.
+A text is cut in sentences (at . ! ? and line ends). Sentences of over MAX_WORDS
+words are cut further where the words themselves say so, so that the same passage
+is cut alike wherever it stands. From each piece on, the run of the next RUN
+pieces, or more until it has MIN_WORDS words, is hashed; runs are joined over the
+whole corpus, and the pieces of each run that is not its first occurrence are
+removed. The first occurrence is the one with the least id (null ids last), then
+the least place in its text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,46 +22,67 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-RUN, MIN_WORDS, MAX_WORDS = 3, 20, 16
-_SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+RUN, MIN_WORDS, MAX_WORDS = 3, 20, 12
+#: In a long sentence a piece has this many words or more, and ends at a word whose checksum the divisor divides.
+LEAST_WORDS, DIVISOR = 4, 4
+_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+_WORD = re.compile(r"\S+")
+
+
+def _cuts(words: list[str], max_words: int) -> list[int]:
+    """Ends of the pieces of a long sentence."""
+    out, last, before = [], 0, 0
+    for i, w in enumerate(words, 1):
+        crc = zlib.crc32(w.lower().encode("utf-8", "replace"))
+        size = i - last
+        if size >= max_words or size >= LEAST_WORDS and (crc ^ before >> 1) % DIVISOR == 0:
+            out.append(i)
+            last = i
+        before = crc
+    if last < len(words):
+        out.append(len(words))
+    return out
 
 
 def pieces(text: str, max_words: int = MAX_WORDS) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each piece with words; a sentence's pieces count from its start."""
+    """(start, end, words) of each piece with words."""
     out = []
-    for m in re.finditer(_SENTENCE, text):
+    for m in _SENTENCE.finditer(text):
         words = m.group().split()
         if len(words) > max_words:
-            at = m.start()
-            spots = [w.start() + at for w in re.finditer(r"\S+", m.group())]
-            # str.split and \S differ on a few control characters: fall back to one piece
-            if len(spots) == len(words):
-                for i in range(0, len(words), max_words):
-                    end = spots[i + max_words] if i + max_words < len(words) else m.end()
-                    out.append((spots[i] if i else at, end, words[i : i + max_words]))
-                continue
-        if words:
+            spots = [w.start() + m.start() for w in _WORD.finditer(m.group())]
+            first = 0
+            for stop in _cuts(words, max_words):
+                out.append((spots[first], spots[stop] if stop < len(words) else m.end(), words[first:stop]))
+                first = stop
+        elif words:
             out.append((m.start(), m.end(), words))
     return out
 
 
-def run_hashes(parts: list, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of first piece, 128-bit hash as two longs) of each run; case and spacing don't count."""
+def run_hashes(parts: list, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first piece, piece after the last, 128-bit hash as two longs) of each run; case and spacing don't count."""
     import xxhash
 
-    n = len(parts) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(p[2]).lower().encode("utf-8", "replace")) for p in parts), "<u8").reshape(-1, 2)
-    size = np.fromiter((len(p[2]) for p in parts), np.int64, len(parts))
+    n = len(parts)
+    size = np.fromiter((len(p[2]) for p in parts), np.int64, n)
     words = np.concatenate([[0], np.cumsum(size)])
-    mixed = np.zeros((n, 2), np.uint64)
-    for j in range(run):
-        x = h[j : j + n] * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
-        mixed = (mixed ^ x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-    at = np.flatnonzero(words[run:] - words[:-run] >= min_words)
-    return at, mixed[at].view(np.int64)
+    begin = np.arange(n)
+    end = np.maximum(begin + run, np.searchsorted(words, words[:-1] + min_words))
+    begin, end = begin[end <= n], end[end <= n]
+    if not len(begin):
+        return begin, end, np.zeros((0, 2), np.int64)
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(p[2]).lower().encode("utf-8", "replace")) for p in parts), "<u8").reshape(-1, 2)
+    # A polynomial in an odd number: a run's sum is a difference of prefix sums, brought to its start by the inverse.
+    power, back = (np.cumprod(np.full(n, m, np.uint64)) for m in (_BASE, _INVERSE))
+    total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(h * power[:, None], axis=0)])
+    mixed = (total[end] - total[begin]) * back[begin][:, None] + (end - begin).astype(np.uint64)[:, None]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return begin, end, (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
@@ -73,7 +96,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int
             where, found, held = [], [], 0
             for i, t in enumerate(shared.texts(batch.column(1))):
                 if t:
-                    h = np.unique(run_hashes(pieces(t, max_words), run, min_words)[1], axis=0)
+                    h = np.unique(run_hashes(pieces(t, max_words), run, min_words)[2], axis=0)
                     where.append(np.full(len(h), i))
                     found.append(h)
                     held += len(h)
@@ -110,14 +133,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int
     def start():
         def one(t, hashes):
             parts = pieces(t, max_words) if t else []
-            at, h = run_hashes(parts, run, min_words)
-            if not len(at):
+            begin, end, h = run_hashes(parts, run, min_words)
+            if not len(begin):
                 return t, len(parts), []
             known = {(x["h1"], x["h2"]) for x in hashes or ()}
             cut, seen = np.zeros(len(parts), bool), set()
-            for i, pair in zip(at.tolist(), map(tuple, h.tolist())):
+            for i, j, pair in zip(begin.tolist(), end.tolist(), map(tuple, h.tolist())):
                 if pair in known or pair in seen:
-                    cut[i : i + run] = True
+                    cut[i:j] = True
                 seen.add(pair)
             if not cut.any():
                 return t, len(parts), []
