@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontamination, language_id, packing, shared, simhash, substring_dedup
+from skein.llm import decontamination, language_id, packing, shared, similar, substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
@@ -37,9 +37,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id in each group of near copies."""
+    """Keep the document of least id in each group of near copies: five words, similarity 0.8."""
     shared.ship(spark)
-    return simhash.keep_first(docs.select(*COLUMNS))
+    return similar.keep_first(docs.select(*COLUMNS))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,26 +25,30 @@ _CHUNK = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit fingerprint of a whole text: the majority of its shingles' XXH64 bits.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a whole text, repeats included.
 
     ASCII letters are lower-cased, words are cut at ASCII white space. Fewer words
-    than a shingle make one shingle; null and wordless texts give 0.
+    than a shingle make one shingle; null and wordless texts have none.
     """
     import xxhash
 
     words = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
     line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(line, seed)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.cumsum(sizes) - sizes
     end = (start + sizes - 1)[shingle - 1 :].tolist()
-    n = len(end)
-    hashes = np.fromiter([digest(line[a:b], seed) for a, b in zip(start.tolist(), end)], np.uint64, n)
+    return np.fromiter([digest(line[a:b], seed) for a, b in zip(start.tolist(), end)], np.uint64, len(end))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half of ``hashes``; 0 for none."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, _CHUNK):
         bits = np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -52,6 +56,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit fingerprint of a whole text: the majority of its shingles' XXH64 bits."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, drop=()) -> DataFrame:
     """``docs`` with ``fp``, the fingerprint as a signed long."""
 
@@ -113,16 +122,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(groups.withColumnRenamed("fp", "g"), F.col("fp") == F.col("g")).drop("g")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Rows of ``docs`` whose id names their group; all columns as they are.
-
-    A row with a null id stays only if no row of its group has an id.
-    """
-    found = near_duplicates(docs, id_col, text, shingle, radius)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id"))
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = near_duplicates(shared.table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skein.llm import components, decontamination, embedding_join, encoding, language_id, packing, quality, shared, sharding, simhash, substring_dedup, token_records, warc
+from skein.llm import components, decontamination, embedding_join, encoding, language_id, packing, quality, shared, sharding, similar, simhash, substring_dedup, token_records, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -400,6 +400,46 @@ def test_simhash_documents(spark):
     assert len(out) == len(texts)
     for r in out:
         assert r.component_id == least[group[r.fp & (1 << 64) - 1]]
-    kept = simhash.keep_first(rows)
-    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == set(least.values())
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2, 512])
+def test_similar_texts(spark, monkeypatch, tile):
+    monkeypatch.setattr(similar, "TILE", tile)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for edits in range(1, 12):
+        w = list(base)
+        for at in rng.sample(range(200), edits):
+            w[at] = f"x{rng.randrange(900)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base), "four words are here", "four words are there", *[t for t in ODD if not isinstance(t, tuple)]]
+    rows = docs(spark, texts)
+    sets = {t: set(similar.simhash.shingle_hashes(t, 5).tolist()) for t in texts}
+    group = {t or "": t or "" for t in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and both >= 0.8 * len(sets[a] | sets[b]) and group[a or ""] != group[b or ""]:
+                    group[a or ""] = group[b or ""] = min(group[a or ""], group[b or ""])
+                    changed = True
+    got: dict = {}
+    want: dict = {}
+    by_id = {r.doc_id: r.text for r in rows.collect()}
+    for r in similar.groups(rows).collect():
+        got.setdefault(r.group, set()).add(r.id)
+        want.setdefault(group[by_id[r.id] or ""], set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    kept = similar.keep_first(rows)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {min(v) for v in want.values()}
+
+
+def test_similar_takes_odd_tables(spark):
+    rows = docs(spark, ["a b c d e f"])
+    assert similar.keep_first(rows.limit(0)).count() == 0
+    twice = rows.union(rows).union(rows.selectExpr("cast(null as long)", *rows.columns[1:]))
+    assert sorted(r.doc_id for r in similar.keep_first(twice).collect()) == [rows.first().doc_id] * 2
