@@ -18,8 +18,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces whose ids one worker keeps (about 250 MB at most), and longest of them.
-CACHE, LONGEST = 1_000_000, 64
+#: Pieces whose ids one worker keeps (about 120 MB), and longest of them.
+CACHE, LONGEST = 600_000, 64
 #: Characters encoded in one call for new pieces.
 CALL_CHARS = 20_000
 _LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?*#$%&|"
@@ -160,6 +160,11 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop a worker's encoders and what they know."""
+    _ENCODERS.clear()
+
+
 def groups(texts, most: int = 4_000_000):
     """Consecutive texts in lists of about ``most`` characters."""
     part, n = [], 0

@@ -89,7 +89,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int
                 )
                 at += len(raw)
 
-    return rows.mapInArrow(run, "key long, id long, n long, width int, ids binary")
+    return shared.map_arrow(rows, run, "key long, id long, n long, width int, ids binary", encoders=True)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False, partitions: int | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(start)], ["id", "n", "width", "ids", "part", "at"])
 
     # Every row carries its place in its range, so the table is read back in any order and any splits.
-    laid = ordered.select("id", "n", "width", "ids").mapInArrow(lay, "id long, n long, width int, ids binary, part int, at long")
+    laid = shared.map_arrow(ordered.select("id", "n", "width", "ids"), lay, "id long, n long, width int, ids binary, part int, at long")
     laid = shared.materialize(laid, "laid-tokens")
     shared.release(tokens)
     # A row a range: the tokens before each range are known once all are counted.
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     ddl = fields + (", ids array<long>" if with_ids else "")
     names = shared.schema_of(ddl).names
-    return laid.mapInArrow(run, ddl)
+    return shared.map_arrow(laid, run, ddl)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
         if sets:
             yield done()
 
-    links = shared.materialize(dealt.mapInArrow(compare, "a string, b string"), "similar-links")
+    links = shared.materialize(shared.map_arrow(dealt, compare, "a string, b string"), "similar-links")
     linked = shared.materialize(components(links), "similar-groups")
     for table in (nodes, found):
         shared.release(table)

@@ -106,7 +106,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(where))), pa.array(h[:, 0]), pa.array(h[:, 1])], ["id", "h1", "h2"])
                     where, found, held = [], [], 0
 
-    return rows.mapInArrow(f, f"id {ids}, h1 long, h2 long")
+    return shared.map_arrow(rows, f, f"id {ids}, h1 long, h2 long")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:

@@ -125,7 +125,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
             seq += 1
 
     names = shared.schema_of(MANIFEST).names
-    manifest = shared.materialize(rows.mapInArrow(run, MANIFEST), "tokens-manifest")
+    manifest = shared.materialize(shared.map_arrow(rows, run, MANIFEST, encoders=True), "tokens-manifest")
     return manifest.orderBy("part", "seq")
 
 
@@ -164,7 +164,7 @@ def read(manifest: DataFrame, batch_records: int = 4096) -> DataFrame:
     if not starts:
         return spark.createDataFrame([], ddl)
     table = spark.createDataFrame(starts, "file string, index_crc long, start long")
-    return table.repartition(len(starts), "file").mapInArrow(run, ddl)
+    return shared.map_arrow(table.repartition(len(starts), "file"), run, ddl)
 
 
 def op2_token_records(spark, sf_dir: str) -> DataFrame:
