@@ -18,8 +18,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces whose ids one worker keeps (about 120 MB), and longest of them.
-CACHE, LONGEST = 600_000, 64
+#: Pieces whose ids one worker keeps (about 190 MB), and longest of them.
+CACHE, LONGEST = 1_000_000, 64
 #: Characters encoded in one call for new pieces.
 CALL_CHARS = 20_000
 _LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?*#$%&|"
