@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 SHARDS, ROUNDS, SLACK = 8, 5, 0.05
-#: Rounds end early when fewer than this share of all rows is admitted.
-LEAST = 0.001
 #: Rows in a window of the final layout; keys of more rows are dealt over several.
 UNIT = 4000
 
@@ -67,8 +65,7 @@ def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS
             state = moves.drop("want", "size")
             break
         share = _quotas(flows, sizes, shards, slack)
-        admitted = sum(flows[p] * f for p, f in share.items())
-        if admitted < LEAST * sum(sizes.values()):
+        if not any(share.values()):  # no move is admitted: further rounds would change nothing
             shared.release(state)
             state = moves.drop("want", "size")
             break

@@ -287,6 +287,23 @@ def test_sharding(spark, monkeypatch):
     assert sorted(r.slot for r in sharding.shard(docs(spark, ["a", "b"])).collect()) == [0, 0]
 
 
+def cut_groups(spark, texts):
+    """Groups of equal rows that have several labels, and rows a label."""
+    rows = docs(spark, texts).select("doc_id", "text").repartition(4)
+    out = sharding.propagate(rows, ["text"], "doc_id").select("text", "label").collect()
+    assert len(out) == len(texts)
+    groups, sizes = {}, {}
+    for r in out:
+        groups.setdefault(r.text, set()).add(r.label)
+        sizes[r.label] = sizes.get(r.label, 0) + 1
+    return {t for t, s in groups.items() if len(s) > 1}, sizes
+
+
+def test_sharding_joins_rare_copies(spark):
+    cut, sizes = cut_groups(spark, [f"t{i}" for i in range(20_000)] + [f"t{i}" for i in range(15)])
+    assert not cut and max(sizes.values()) < 2750
+
+
 def test_sharding_is_native(spark, sf):
     plan = sharding.op7_sharding(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
