@@ -21,17 +21,37 @@ SHARDS, ROUNDS, SLACK = 8, 5, 0.05
 UNIT = 4000
 
 
-def _quotas(flows: dict[tuple[int, int], int], sizes: dict[int, int], shards: int, slack: float) -> dict[tuple[int, int], float]:
-    """Share of each flow (from, to) that is admitted; at most shards squared entries."""
+def _quotas(flows: dict[tuple[int, int, bool], int], sizes: dict[int, int], shards: int, slack: float) -> tuple[dict[tuple[int, int, bool], float], set[int]]:
+    """Share of each flow (from, to, late) that is admitted, and the labels then full.
+
+    Opposite flows are exchanged one for one, the rest fits in room; in both, rows of late
+    flows come after all others. At most twice shards squared entries.
+    """
     cap = sum(sizes.values()) / shards * (1 + slack)
-    admitted = {p: min(n, flows.get(p[::-1], 0)) for p, n in flows.items()}
+    admitted = dict.fromkeys(flows, 0.0)
+
+    def left(p):
+        return flows.get(p, 0) - admitted.get(p, 0.0)
+
+    for mine, theirs in ((False, False), (False, True), (True, True)):
+        swaps = {p: min(left(p), left((p[1], p[0], theirs))) for p in flows if p[2] == mine}
+        for (a, b, _), n in swaps.items():
+            if n:
+                admitted[a, b, mine] += n
+                if mine != theirs:
+                    admitted[b, a, theirs] += n
+    full = set()
     for to in range(shards):
         room = max(0.0, cap - sizes.get(to, 0))
-        wants = {p: n - admitted[p] for p, n in flows.items() if p[1] == to}
-        total = sum(wants.values())
-        for p, n in wants.items():
-            admitted[p] += n * min(1.0, room / total) if total else 0
-    return {p: admitted[p] / n for p, n in flows.items() if n}
+        for late in (False, True):
+            wants = {p: left(p) for p in flows if p[1] == to and p[2] == late}
+            total = sum(wants.values())
+            for p, n in wants.items():
+                admitted[p] += n * min(1.0, room / total) if total else 0
+            room = max(0.0, room - total)
+        if not room:
+            full.add(to)
+    return {p: admitted[p] / n for p, n in flows.items() if n}, full
 
 
 def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, links: DataFrame | None = None) -> DataFrame:
@@ -39,10 +59,15 @@ def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS
 
     ``links`` (a, b: key hashes as made by xxhash64 of the key columns) ties keys to
     each other. Keys of at most a tenth of a shard move whole; larger ones row by row,
-    so that a key too large for any shard fills what room there is.
+    so that a key too large for any shard fills what room there is. Keys larger than a
+    shard's room (``slack``) are admitted after all others, and others wish for their best
+    label that was not full in the round before; where all of a cut key's are full, for
+    any that was not.
     """
     k = F.xxhash64(*key)
     state = shared.materialize(rows.withColumn("_k", k).withColumn("label", F.pmod(F.xxhash64(F.lit(1), id_col, *key), F.lit(shards)).cast("int")), "labels")
+    full: set[int] = set()
+    total = 0
     for r in range(rounds):
         cells = state.groupBy("_k", "label").agg(F.count("*").alias("n"))
         if links is not None:
@@ -51,29 +76,37 @@ def propagate(rows: DataFrame, key: list[str], id_col: str, shards: int = SHARDS
             cells = cells.union(near).groupBy("_k", "label").agg(F.sum("n").alias("n"))
         # The most frequent label; ties by a hash, so that they don't all go to one shard.
         rank = F.struct("n", F.xxhash64("_k", "label"), "label")
-        best = cells.groupBy("_k").agg(F.max(rank).alias("top"), F.sum("n").alias("size")).where("size > 1").select(F.col("_k").alias("_b"), F.col("top.label").alias("want"), "size")
+        free = F.when(~F.col("label").isin(sorted(full)), rank)
+        best = cells.groupBy("_k").agg(F.max(rank).alias("top"), F.max(free).alias("free"), F.count("*").alias("cells"), F.sum("n").alias("size")).where("size > 1")
+        want = F.col("top.label")
+        if full:
+            open_ = [s for s in range(shards) if s not in full]
+            other = F.lit(None).cast("int")
+            if open_ and links is None:  # linked keys would be dealt apart
+                other = F.when(F.col("cells") > 1, F.element_at(F.array(*map(F.lit, open_)), (F.pmod(F.xxhash64(F.lit(r), "_k"), F.lit(len(open_))) + 1).cast("int")))
+            want = F.when(F.col("size") <= slack * total / shards, F.coalesce("free.label", other, "top.label")).otherwise(want)
+        best = best.select(F.col("_k").alias("_b"), want.alias("want"), "size")
         best = shared.materialize(best, "wishes")  # so that the join below has exchanges that can be split where a key is hot
         moves = state.join(best, F.col("_k") == F.col("_b"), "left").drop("_b")
-        moves = shared.materialize(moves.withColumn("want", F.coalesce("want", "label")), "moves")
-        counted = moves.groupBy("label", "want").agg(F.count("*").alias("n")).collect()  # shards squared rows
+        moves = shared.materialize(moves.withColumn("want", F.coalesce("want", "label")).withColumn("size", F.coalesce("size", F.lit(0))), "moves")
+        total = total or moves.count()
+        late = F.col("size") > slack * total / shards
+        counted = moves.groupBy("label", "want", late.alias("late")).agg(F.count("*").alias("n")).collect()  # twice shards squared rows
         sizes: dict[int, int] = {}
         for c in counted:
             sizes[c.label] = sizes.get(c.label, 0) + c.n
-        flows = {(c.label, c.want): c.n for c in counted if c.label != c.want}
-        if not flows:
-            shared.release(state)
-            state = moves.drop("want", "size")
-            break
-        share = _quotas(flows, sizes, shards, slack)
-        if not any(share.values()):  # no move is admitted: further rounds would change nothing
+        flows = {(c.label, c.want, c.late): c.n for c in counted if c.label != c.want}
+        before = full
+        share, full = _quotas(flows, sizes, shards, slack)
+        if not flows or not any(share.values()) and full == before:  # no move is admitted, and wishes stay: further rounds would change nothing
             shared.release(state)
             state = moves.drop("want", "size")
             break
-        # At most shards squared entries, as an expression: no join.
-        table = F.create_map(*[F.lit(x) for (a, b), f in sorted(share.items()) for x in (a * shards + b, float(f))])
-        small = F.coalesce(F.col("size"), F.lit(0)) <= sum(sizes.values()) / shards / 10
+        # At most twice shards squared entries, as an expression: no join.
+        table = F.create_map(*[F.lit(x) for (a, b, c), f in sorted(share.items()) for x in ((a * shards + b) * 2 + c, float(f))])
+        small = F.col("size") <= total / shards / 10
         u = F.pmod(F.when(small, F.xxhash64(F.lit(r), "_k")).otherwise(F.xxhash64(F.lit(r), "_k", id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        part = F.coalesce(F.try_element_at(table, F.col("label") * shards + F.col("want")), F.lit(0.0))
+        part = F.coalesce(F.try_element_at(table, (F.col("label") * shards + F.col("want")) * 2 + late.cast("int")), F.lit(0.0))
         step = moves.withColumn("label", F.when(u < part, F.col("want")).otherwise(F.col("label")))
         step = shared.materialize(step.drop("want", "size"), "labels")
         shared.release(state)

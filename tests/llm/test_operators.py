@@ -304,6 +304,11 @@ def test_sharding_joins_rare_copies(spark):
     assert not cut and max(sizes.values()) < 2750
 
 
+def test_sharding_joins_small_groups_beside_a_hot_one(spark):
+    cut, sizes = cut_groups(spark, ["hot"] * 2700 + [f"t{i}" for i in range(4500)] + [f"t{i}" for i in range(900)])
+    assert cut <= {"hot"} and max(sizes.values()) < 1.1 * 8100 / 8
+
+
 def test_sharding_is_native(spark, sf):
     plan = sharding.op7_sharding(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
