@@ -3,8 +3,8 @@
 A pair says that one document is better than another; its probability is the
 logistic function of the difference of their utilities, and a utility is linear
 in whole-text features. The fit minimises the logistic loss over feature
-differences. A quantile of the fitted utilities, at the share of bad labels,
-becomes the threshold, which scores map to THRESHOLD.
+differences. A quantile of the fitted utilities of all labelled documents, at the
+share of bad labels, becomes the threshold, which scores map to THRESHOLD.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 THRESHOLD = 0.3
-#: Bounds of the fit: labelled rows a class, and preference pairs.
+#: Bounds of the fit of weights: labelled rows a class, and preference pairs.
 ROWS, PAIRS = 6000, 120_000
 RIDGE, STEPS = 1e-3, 25
 
@@ -65,7 +65,8 @@ class Ranker:
         self.mean, self.scale, self.weights, self.cut, self.slope = mean, scale, weights, cut, slope
 
     def utility(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        # Summed row by row, so that a row's bits don't depend on the rows beside it.
+        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights).sum(-1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (self.utility(x) - self.cut) + math.log(THRESHOLD / (1 - THRESHOLD))
@@ -94,12 +95,47 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, pairs: int = PAIRS, rid
     return Ranker(mean, scale, w, 0.0, 1.0)
 
 
+def _flip(bits):
+    """Bits of doubles as whole numbers of the same order, and back."""
+    return bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)
+
+
+def _double(key: int) -> float:
+    return float(_flip(np.array([key], np.int64)).view(np.float64)[0])
+
+
+def exact_cut(scored: DataFrame, counts: dict[int, int]) -> float:
+    """Middle of the two values around the quantile of ``scored`` (y, key) at the share of bad labels.
+
+    Rows of a class weigh as much as its labels in ``counts``. The value is found 16 bits a
+    step by counts alone, so at most 65,536 rows come to the driver, whatever the table holds.
+    """
+    at, below, m = None, (0, 0), None
+    for shift in (48, 32, 16, 0):
+        part = scored if at is None else scored.where(F.shiftright("key", shift + 16) == F.lit(at))
+        cells = part.groupBy(F.shiftright("key", shift).alias("p")).agg(F.count(F.when(F.col("y") == 0, 1)).alias("n0"), F.count(F.when(F.col("y") == 1, 1)).alias("n1"))
+        cells = sorted((r.p, r.n0, r.n1) for r in cells.collect())
+        m = m or (sum(c[1] for c in cells), sum(c[2] for c in cells))
+        w0, w1, goal = counts[0] * m[1], counts[1] * m[0], counts[0] * m[0] * m[1]  # whole numbers: no rounding
+        for at, n0, n1 in cells:
+            if (below[0] + n0) * w0 + (below[1] + n1) * w1 >= goal:
+                break
+            below = below[0] + n0, below[1] + n1
+    short = (below[0] + n0) * w0 + (below[1] + n1) * w1 - (w0 if n0 else w1) < goal  # the goal is met by the last row of this value
+    other = at
+    if short:
+        ends = scored.agg(F.min(F.when(F.col("key") > at, F.col("key"))).alias("next"), F.max(F.when(F.col("key") < at, F.col("key"))).alias("last")).first()
+        other = ends.next if ends.next is not None else at if n0 + n1 > 1 else ends.last
+    return (_double(at) + _double(other)) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS) -> Ranker:
-    """Rank labels 1 over labels 0 on a bounded sample of labelled documents.
+    """Rank labels 1 over labels 0: weights from a bounded sample, the threshold from all labelled documents.
 
     About ``rows`` ids of each label are taken, those of least hash, before any text is
-    read; their table is bounded and is broadcast to the texts. The share of bad labels is
-    counted over all of ``labels``. Null ids and labels are ignored, an id with both labels
+    read; their table is bounded and is broadcast to the texts. Then all ``docs`` are scored
+    once, only ids and utilities are joined to ``labels``, and the cut is their exact quantile
+    at the share of bad labels, counted over all of ``labels``. Null ids and labels are ignored, an id with both labels
     counts as bad, null texts count as empty. One label only: every score is THRESHOLD.
     """
     shared.ship(docs.sparkSession)
@@ -120,14 +156,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     ranker = bradley_terry(*sides)
     if not len(sides[0]) or not len(sides[1]):
         return ranker
-    bad = counts[0] / (counts[0] + counts[1])
-    # Weight the sample back to all rows, then cut at the quantile of bad labels.
-    u = np.concatenate([ranker.utility(s) for s in sides])
-    weight = np.concatenate([np.full(len(s), counts[k] / len(s)) for s, k in zip(sides, (1, 0))])
-    order = np.argsort(u, kind="stable")
-    share = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(share, bad)), len(u) - 2)
-    ranker.cut = float((u[order][at] + u[order][at + 1]) / 2)
+
+    def rate():
+        def run(cols):
+            u = ranker.utility(np.array([features(t) for t in shared.texts(cols[0])])) + 0.0  # no -0.0
+            return [pa.array(_flip(u.view(np.int64)))]
+
+        return run
+
+    every = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null")
+    rated = shared.append_columns(every, ["text"], "key long", rate, drop=["text"])
+    scored = shared.materialize(rated.join(known, F.col("id") == F.col("label_id")).select("y", "key"), "utilities")
+    ranker.cut = exact_cut(scored, counts)
+    shared.release(scored)
     ranker.slope = 1.0
     return ranker
 

@@ -259,6 +259,25 @@ def test_quality(spark, sf):
         assert {round(r.score, 9) for r in quality.score(table, quality.fit(table, bad)).collect()} == {0.3}
 
 
+def test_quality_cut_is_of_all_labelled_rows(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["aa", "Bb", "c1", "d.", "#e", "| f"]) for _ in range(rng.randint(1, 40))) for _ in range(500)] + ["same"] * 30
+    ys = {i: int(rng.random() < 0.3 + 0.4 * (len(t) > 60)) for i, t in enumerate(texts) if i % 7}
+    labels = spark.createDataFrame([*ys.items()], "doc_id long, quality int")
+    ranker = quality.fit(docs(spark, texts).repartition(3), labels, rows=40)
+    u = np.sort(ranker.utility(np.array([quality.features(texts[i]) for i in ys])))
+    bad = sum(y == 0 for y in ys.values())
+    assert ranker.cut == (u[bad - 1] + u[bad]) / 2
+
+
+def test_exact_cut(spark):
+    for good, bad in (([1.0, 2.0, 3.0], [-1.0, 0.0]), ([1.0] * 5, [1.0] * 3 + [-2.5]), ([-1e300, 5e-324], [0.0, 2.0, 2.0]), ([0.5], [0.25])):
+        rows = [(y, int(quality._flip(np.array([v]).view(np.int64))[0])) for y, side in ((1, good), (0, bad)) for v in side]
+        u = sorted(good + bad)
+        got = quality.exact_cut(spark.createDataFrame(rows, "y int, key long"), {0: len(bad), 1: len(good)})
+        assert got == (u[len(bad) - 1] + u[len(bad)]) / 2
+
+
 def test_bradley_terry_orders():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (200, len(quality.FEATURES))), rng.normal(0, 1, (200, len(quality.FEATURES)))
