@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut in sentences (at . ! ? and line ends). Sentences of over MAX_WORDS
+A text is cut in sentences (at . ! ? in all widths and line ends). In scripts written
+without spaces each character counts as a word. Sentences of over MAX_WORDS
 words are cut further where the words themselves say so, so that the same passage
 is cut alike wherever it stands. From each piece on, the run of the next RUN
-pieces, or more until it has MIN_WORDS words, is hashed; runs are joined over the
+pieces, or more until it has MIN_WORDS words, is hashed, and so is the run back from each
+piece, so that both ends of a passage are in runs that lie inside it; runs are joined over the
 whole corpus, and the pieces of each run that is not its first occurrence are
 removed. The first occurrence is the one with the least id (null ids last), then
 the least place in its text.
@@ -25,8 +27,11 @@ from . import shared
 RUN, MIN_WORDS, MAX_WORDS = 3, 20, 12
 #: In a long sentence a piece has this many words or more, and ends at a word whose checksum the divisor divides.
 LEAST_WORDS, DIVISOR = 4, 4
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+_SENTENCE = re.compile(r"[^.!?\n。！？．｡]*[.!?\n。！？．｡]+|[^.!?\n。！？．｡]+")
 _WORD = re.compile(r"\S+")
+#: Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_SOLID, _SOLID_WORD = re.compile(f"[{_SOLID}]"), re.compile(f"[{_SOLID}]|[^\\s{_SOLID}]+")
 
 
 def _cuts(words: list[str], max_words: int) -> list[int]:
@@ -47,10 +52,11 @@ def _cuts(words: list[str], max_words: int) -> list[int]:
 def pieces(text: str, max_words: int = MAX_WORDS) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each piece with words."""
     out = []
+    word = _SOLID_WORD if not text.isascii() and _ANY_SOLID.search(text) else _WORD
     for m in _SENTENCE.finditer(text):
-        words = m.group().split()
+        words = m.group().split() if word is _WORD else word.findall(m.group())
         if len(words) > max_words:
-            spots = [w.start() + m.start() for w in _WORD.finditer(m.group())]
+            spots = [w.start() + m.start() for w in word.finditer(m.group())]
             first = 0
             for stop in _cuts(words, max_words):
                 out.append((spots[first], spots[stop] if stop < len(words) else m.end(), words[first:stop]))
@@ -61,7 +67,10 @@ def pieces(text: str, max_words: int = MAX_WORDS) -> list[tuple[int, int, list[s
 
 
 def run_hashes(parts: list, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first piece, piece after the last, 128-bit hash as two longs) of each run; case and spacing don't count."""
+    """(first piece, piece after the last, 128-bit hash as two longs) of each run, in order; case and spacing don't count.
+
+    Runs are the shortest ones from each piece on and back from each piece; one that is both comes once.
+    """
     import xxhash
 
     n = len(parts)
@@ -69,7 +78,10 @@ def run_hashes(parts: list, run: int = RUN, min_words: int = MIN_WORDS) -> tuple
     words = np.concatenate([[0], np.cumsum(size)])
     begin = np.arange(n)
     end = np.maximum(begin + run, np.searchsorted(words, words[:-1] + min_words))
-    begin, end = begin[end <= n], end[end <= n]
+    stop = np.arange(1, n + 1)
+    start = np.minimum(stop - run, np.searchsorted(words, words[1:] - min_words, "right") - 1)
+    begin, end = np.concatenate([begin[end <= n], start[start >= 0]]), np.concatenate([end[end <= n], stop[start >= 0]])
+    begin, end = np.divmod(np.unique(begin * (n + 1) + end), n + 1)
     if not len(begin):
         return begin, end, np.zeros((0, 2), np.int64)
     h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(p[2]).lower().encode("utf-8", "replace")) for p in parts), "<u8").reshape(-1, 2)

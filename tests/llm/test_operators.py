@@ -390,6 +390,19 @@ def test_substrings(spark):
     assert substring_dedup.remove(docs(spark, []).limit(0)).count() == 0
 
 
+def test_substrings_to_both_ends_and_without_spaces(spark):
+    rng = random.Random(10)
+    sentence = lambda n, mark: " ".join(f"{mark}{rng.randrange(10**6)}" for _ in range(n)) + ". "
+    passage = "".join(sentence(n, "p") for n in (12, 4, 4, 4))
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) + "。"
+    solid = "".join(han(n) for n in (9, 15, 8))
+    own = [sentence(15, "o") + sentence(15, "o") for _ in range(4)]
+    wide = [han(14) + han(14) for _ in range(4)]
+    texts = [own[0] + passage + own[1], own[2] + passage + own[3], wide[0] + solid + wide[1], wide[2] + solid + wide[3]]
+    got = [r.text for r in substring_dedup.remove(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], own[2] + own[3], texts[2], wide[2] + wide[3]]
+
+
 # --- 10 SimHash
 
 def brute_print(text):
