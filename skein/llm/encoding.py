@@ -6,7 +6,8 @@ The pieces repeat a lot; a worker keeps the ids of those it has met. New pieces
 of Latin letters, common signs and line ends are cut as the tokenizer's own
 pattern cuts them and go to the library's model directly; all others are encoded
 by the whole tokenizer, many in a call. Texts where a space stands next to other
-white space are encoded whole.
+white space, and texts that may hold an added token (``<|endoftext|>``), are encoded
+whole by the library's own call.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -54,6 +54,9 @@ class Encoder:
         self.bytes = _byte_level()
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
+        # How each added token begins, up to its first letter or digit: no normalizer makes such signs from others.
+        marks = {re.match(r"[^\w\s;`]*", t["content"]).group() for t in kind.get("added_tokens") or ()}
+        self.added = re.compile("|".join(map(re.escape, sorted(marks)))).search if marks else None
         steps = kind.get("pre_tokenizer") or {}
         # Which of the two known patterns this is; for any other the short cut is off.
         self.spaced = steps.get("type") == "ByteLevel" and steps.get("use_regex") and not steps.get("add_prefix_space") and not kind.get("normalizer")
@@ -123,7 +126,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
-            elif t[0] == " " or t[-1] == " " or self.odd(t):
+            elif t[0] == " " or t[-1] == " " or self.odd(t) or (self.added and self.added(t)):
                 out[i] = self._whole(t)
             else:
                 pieces = t.split(" ")

@@ -23,7 +23,7 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, DOCS)
 
 
-ODD = [None, "", " ", "\n\n", "...", "one", "one", (None, "one"), (5, "one"), "a b c " * 3000, "é" * 50, "日本 語", "x" * 5000]
+ODD = [None, "", " ", "a <|endoftext|> b", "\n\n", "...", "one", "one", (None, "one"), (5, "one"), "a b c " * 3000, "é" * 50, "日本 語", "x" * 5000]
 
 
 # --- shared
@@ -90,23 +90,31 @@ def test_language_held_out(spark, sf):
 
 # --- encoding
 
+def library(path):
+    """A tokenizer as the library loads it, shared with no code under test."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoding_is_exact(path):
     rng = random.Random(2)
-    parts = ["a", "the", " ", "  ", "\n", "\t", " ", "é", "é", "́", "1", "23", "'s", "'", "!", "..", "İ", "Σ", "　", "\x85", "\x1c", "<|endoftext|>", "日本", "</w>", "\r\n", "THE", "über", "ß.", "a,b|c", "\n\n", "%%%", "And\nÉa."]
+    parts = ["a", "the", " ", "  ", "\n", "\t", " ", "é", "é", "́", "1", "23", "'s", "'", "!", "..", "İ", "Σ", "　", "\x85", "\x1c", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "日本", "</w>", "\r\n", "THE", "über", "ß.", "a,b|c", "\n\n", "%%%", "And\nÉa."]
     texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
-    enc = encoding.Encoder(path)
+    texts += [f"{a}{t}{b}" for t in ("<|endoftext|>", "<|startoftext|>") for a in ("", " ", "hello ", "x", "\n") for b in ("", " ", " world", "x", t)]
+    enc, lib = encoding.Encoder(path), library(path)
     for _ in range(2):
         got = enc.encode([None, *texts])
-        want = [np.array(e.ids, enc.dtype).tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+        want = [np.array(e.ids, enc.dtype).tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
         assert got == [b"", *want]
+    assert lib.token_to_id("<|endoftext|>") in np.frombuffer(enc.encode(["hello <|endoftext|> world"])[0], enc.dtype)
 
 
 # --- 2 token records
 
 def ids_of(path, text):
-    enc = encoding.encoder(path)
-    return np.array([*enc.tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    return np.array([*library(path).encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 def test_frames():
