@@ -3,10 +3,13 @@
 Two texts whose five-word shingle sets have a Jaccard similarity of 0.8 differ by
 about ten bits of a 64-bit fingerprint (measured: 0 to 17), far beyond the two
 bits that the segment-popcount grid covers. So the grid proposes the pairs it
-can, bands of minwise hashes propose the others, and every proposed cluster is
-compared exactly, in tiles: a text travels once, and only a cluster of over TILE
-texts is copied to the tile pairs it is in. A tile pair returns a spanning forest
-of its links, never the links themselves.
+can, bands of minwise hashes propose the others, and every proposed pair is
+compared exactly. A cluster of up to TILE texts is compared whole, in one task row group.
+A larger one is dealt to tiles, each with the same few pivots of the cluster: texts
+near a pivot, or near each other in a tile, are linked after one copy of each text.
+Only texts that share a band or fingerprint with a text of another group by then
+are compared across tiles. A tile returns a spanning forest of its links, never the
+links themselves.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from .embedding_join import _forest
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 agrees on all ROWS hashes of some band with probability 0.994, one of 0.85 with 0.9998.
 BANDS, ROWS = 22, 7
-#: Texts of a cluster in a tile; a task row group holds two tiles.
-TILE = 512
+#: Texts of a cluster in a tile, and pivots of a larger cluster; a task row group holds two tiles, or one and the pivots.
+TILE, PIVOTS = 512, 32
+#: Tables of up to this many rows, counted first, are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 _CHUNK, _COLUMNS = 1 << 12, 1 << 12
 
 
@@ -97,46 +102,32 @@ def _prints(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
     return shared.append_columns(rows, ["t"], "fp long, keys array<long>", start, drop=["t"])
 
 
-def _clusters(nodes: DataFrame) -> DataFrame:
-    """(node, component_id) of the texts that the grid or a band proposes to compare."""
-    byte = nodes.where("fp is not null")
-    same = byte.groupBy("fp").agg(F.min("node").alias("least"))
-    # Equal fingerprints, and fingerprints within two bits, by the segment-popcount grid.
-    equal = byte.join(same.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    grid = simhash.near_pairs(same.select("fp"))
-    owner = same.select(F.col("fp").alias("f"), "least")
-    grid = grid.join(owner.withColumnRenamed("least", "la"), F.col("a") == F.col("f")).drop("f")
-    grid = grid.join(owner.withColumnRenamed("least", "lb"), F.col("b") == F.col("f")).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    band = nodes.select("node", F.explode("keys").alias("key"))
-    first = band.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least")
-    band = band.join(first, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return components(equal.union(grid).union(band))
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(node, key): texts with a key in common are to be compared. Keys are bands, fingerprints, and pairs of near fingerprints."""
+    grid = simhash.near_pairs(nodes.select("fp").distinct())
+    pair = F.xxhash64(F.lit("pair"), "a", "b")
+    ends = grid.select(pair.alias("key"), F.explode(F.array("a", "b")).alias("f"))
+    near = ends.join(nodes.select("node", "fp"), F.col("f") == F.col("fp")).select("node", "key")
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    return bands.union(nodes.select("node", F.xxhash64(F.lit("print"), "fp").alias("key"))).union(near)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id and group of each row: the md5 of a text of its group, the empty text's for null.
+def _clusters(buckets: DataFrame) -> DataFrame:
+    """(node, component_id) of the texts that a key proposes to compare."""
+    first = buckets.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least")
+    return components(buckets.join(first, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("least").alias("b")))
 
-    Only pairs compared exactly at ``similarity`` or more are links. Equal texts are one
-    node; wordless ones have no links. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    shared.ship(spark)
-    prints = shared.materialize(_prints(docs, id_col, text, shingle), "shingle-keys")
-    nodes = prints.where("fp is not null").groupBy("node").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = shared.materialize(nodes, "similar-nodes")
-    found = shared.materialize(_clusters(nodes), "similar-clusters").withColumnRenamed("node", "x")
-    sizes = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("c"), F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles"))
-    placed = found.join(sizes, F.col("component_id") == F.col("c")).join(nodes.select("node", "owner"), F.col("x") == F.col("node"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("node", "owner", "c", "tiles", "own")
-    # One row of each text: the one with its least id.
-    texts = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("m"), F.col(text).alias("t"))
-    held = texts.join(placed, (F.col("m") == F.col("node")) & F.col("id").eqNullSafe(F.col("owner")))
-    # A tile meets itself in the pairs with others: only a cluster of one tile has a pair (0, 0).
-    pair = F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: x != F.col("own")))
-    dealt = held.select("node", "c", "own", "t", F.explode(pair).alias("other"))
-    dealt = dealt.select("c", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "t")
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, for a broadcast join if its counted size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _compare(dealt: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) among the texts of each cell; ``dealt`` has cell, node, t."""
+    spark = dealt.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "c", "lo", "hi").sortWithinPartitions("c", "lo", "hi", "node")
+    dealt = dealt.select("cell", "node", "t").repartition(parts, "cell").sortWithinPartitions("cell", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes_, sets = None, [], []
@@ -146,11 +137,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
             return pa.RecordBatch.from_arrays([pa.array([nodes_[i] for i, _ in tree], pa.string()), pa.array([nodes_[j] for _, j in tree], pa.string())], ["a", "b"])
 
         for batch in batches:
-            for c, lo, hi, node, t in zip(*(shared.texts(col) for col in batch.columns)):
-                if (c, lo, hi) != now:
+            for cell, node, t in zip(*(shared.texts(col) for col in batch.columns)):
+                if cell != now:
                     if sets:
                         yield done()
-                    now, nodes_, sets = (c, lo, hi), [], []
+                    now, nodes_, sets = cell, [], []
                 if nodes_ and nodes_[-1] == node:  # a repeated row
                     continue
                 nodes_.append(node)
@@ -158,21 +149,117 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
         if sets:
             yield done()
 
-    links = shared.materialize(shared.map_arrow(dealt, compare, "a string, b string"), "similar-links")
-    linked = shared.materialize(components(links), "similar-groups")
-    for table in (nodes, found):
+    return shared.materialize(shared.map_arrow(dealt, compare, "a string, b string"), "similar-links")
+
+
+def _cell(*parts):
+    return F.concat_ws("/", *[p.cast("string") for p in parts])
+
+
+def _own(tiles, seed: int = 0):
+    return F.pmod(F.xxhash64(F.lit(seed), "node"), tiles).cast("int")
+
+
+def _first_links(held: DataFrame, placed: DataFrame) -> DataFrame:
+    """(cell, node, t): whole clusters, and tiles of larger ones with the cluster's pivots in each."""
+    pivots = placed.where("tiles > 1").groupBy("c", _own(F.lit(PIVOTS), 1).alias("slot")).agg(F.min("node").alias("pivot")).select("pivot")
+    pivots = shared.materialize(pivots, "similar-pivots")
+    marked = held.join(_small(pivots), F.col("node") == F.col("pivot"), "left")
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    at = F.when(F.col("pivot").isNotNull(), every).otherwise(F.array(_own(F.col("tiles"))))
+    return marked.select("c", "node", "t", F.explode(at).alias("tile")).select(_cell(F.col("c"), F.col("tile")).alias("cell"), "node", "t")
+
+
+def _open_cells(large: DataFrame, buckets: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(node, cells) of the large clusters' texts that meet a text of another group in a bucket; None if there are none.
+
+    In a cluster the texts of its largest group are dealt to tiles of their own, which need not meet each
+    other: only the remaining texts are compared with all. The work grows with the texts of other groups.
+    """
+    labels = components(links).withColumnsRenamed({"node": "x", "component_id": "label"})
+    known = large.select("node", "c").join(labels, F.col("node") == F.col("x"), "left").select("node", "c", F.coalesce("label", "node").alias("label"))
+    known = shared.materialize(known, "similar-labels")
+    met = buckets.join(known.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("key", "node", "c", "label")
+    met = shared.materialize(met, "similar-met")
+    mixed = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("key").alias("k"))
+    open_ = shared.materialize(met.join(mixed, F.col("key") == F.col("k")).select("node", "c", "label").distinct(), "similar-open")
+    shared.release(met)
+    if open_.isEmpty():
+        return None
+    sizes = open_.groupBy("c", "label").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("c").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    most = shared.materialize(most.select(F.col("c").alias("k"), F.col("top.label").alias("main"), tiles(F.col("top.n")).alias("mains"), tiles(F.col("all") - F.col("top.n")).alias("others")), "similar-main")
+    placed = open_.join(_small(most), F.col("c") == F.col("k"))
+    main = F.col("label") == F.col("main")
+    own = F.when(main, _own(F.col("mains"))).otherwise(_own(F.col("others")))
+    placed = placed.select("node", "c", main.alias("is_main"), own.alias("own"), "mains", "others")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_main = F.transform(span("others"), lambda i: _cell(F.col("c"), F.lit("m"), i, F.col("own")))
+    with_main = F.transform(span("mains"), lambda j: _cell(F.col("c"), F.lit("m"), F.col("own"), j))
+    among = F.transform(F.filter(span("others"), lambda j: j != F.col("own")), lambda j: _cell(F.col("c"), F.lit("o"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    return placed.select("node", F.when(F.col("is_main"), as_main).otherwise(F.concat(with_main, among)).alias("cells"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id, node and group of each row: the md5 of its text, and of a text of its group; the empty text's for null.
+
+    Only pairs compared exactly at ``similarity`` or more are links. Equal texts are one
+    node; wordless ones have no links. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    shared.ship(spark)
+    prints = shared.materialize(_prints(docs, id_col, text, shingle), "shingle-keys")
+    nodes = prints.where("fp is not null").groupBy("node").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = shared.materialize(nodes, "similar-nodes")
+    buckets = shared.materialize(_buckets(nodes), "similar-buckets")
+    found = shared.materialize(_clusters(buckets).select("node", F.col("component_id").alias("c")), "similar-clusters")
+    # Only clusters of several tiles need their size: at most one in TILE texts is such a row.
+    big = found.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    big = shared.materialize(big.select(F.col("c").alias("k"), F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "similar-sizes")
+    sized = found.join(_small(big), F.col("c") == F.col("k"), "left").select("node", "c", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    placed = sized.join(nodes.select(F.col("node").alias("m"), "owner"), F.col("node") == F.col("m")).drop("m")
+    # One row of each text: the one with its least id.
+    texts = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("m"), F.col(text).alias("t"))
+    same = (F.col("m") == F.col("node")) & F.col("id").eqNullSafe(F.col("owner"))
+    if big.isEmpty():
+        held = texts.join(placed, same)
+        links = [_compare(held.select(F.col("c").alias("cell"), "node", "t"), shingle, similarity)]
+    else:
+        placed = shared.materialize(placed, "similar-placed")
+        held = texts.join(placed, same)
+        # Pivots are found in the table without texts; texts join once.
+        links = [_compare(_first_links(held, placed), shingle, similarity)]
+        cells = _open_cells(placed.where("tiles > 1"), buckets, links[0])
+        if cells is not None:
+            again = texts.join(cells.join(placed.select(F.col("node").alias("n"), "owner"), F.col("node") == F.col("n")).drop("n"), same)
+            links.append(_compare(again.select(F.explode("cells").alias("cell"), "node", "t"), shingle, similarity))
+    linked = links[0] if len(links) == 1 else links[0].union(links[1])
+    linked = shared.materialize(components(linked), "similar-groups")
+    for table in (nodes, buckets, found, *links):
         shared.release(table)
     out = prints.select("id", F.coalesce("node", F.md5(F.lit("").cast("binary"))).alias("m")).join(linked, F.col("m") == F.col("node"), "left")
-    return out.select("id", F.coalesce("component_id", "m").alias("group"))
+    return out.select("id", F.col("m").alias("node"), F.coalesce("component_id", "m").alias("group"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of ``docs`` with the least id of their group; all columns as they are.
+    """One row of ``docs`` for each group: that of least id (nulls last), then of least md5; all columns as they are.
 
     Equal texts are a group (null counts as empty), as are the texts that links of
-    :func:`groups` join. A row with a null id stays only if no row of its group has an id;
-    rows with equal ids stay or go together.
+    :func:`groups` join. Of rows equal in id and text any one stays. An id that stands in
+    several groups can stay in each.
     """
-    found = groups(docs, id_col, text, shingle, similarity)
-    first = found.groupBy("group").agg(F.min("id").alias("kept_id")).select("kept_id").distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    units = groups(docs, id_col, text, shingle, similarity).groupBy("id", "node").agg(F.first("group").alias("group"), F.count("*").alias("n"))
+    least = F.struct(F.isnull("id").alias("z"), "id", "node")
+    kept = units.groupBy("group").agg(F.min(F.struct(least.alias("least"), "n")).alias("top"))
+    kept = kept.select(F.col("top.least.id").alias("kept_id"), F.col("top.least.node").alias("kept_node"), F.col("top.n").alias("kept_n"))
+    kept = shared.materialize(kept, "kept")
+    node = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (node == F.col("kept_node"))
+    out = docs.join(kept.where("kept_n = 1"), same, "left_semi")
+    repeated = kept.where("kept_n > 1")
+    if repeated.isEmpty():
+        return out
+    # The few rows that are listed several times: their aggregate leaves one before the exchange.
+    more = docs.join(repeated.select("kept_id", "kept_node"), same, "left_semi").withColumn("_node", node)
+    return out.union(more.dropDuplicates([id_col, "_node"]).drop("_node"))
