@@ -3,12 +3,15 @@
 A text is put in canonical form (lower case, letters only, single spaces) and
 cut in blocks; each block is compressed against every language's dictionary.
 The language with the fewest bytes over the *whole* text wins. A text whose
-two best languages are nearly as short is rejected.
+two best languages are nearly as short is rejected. Any number of languages can be
+told apart: a block of dictionaries is held at a time.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +19,15 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bounds of the fit: a dictionary holds one slice from each of SLOTS labelled texts.
-SLOTS, SLICE_CHARS, MAX_LANGUAGES = 64, 1024, 256
+#: Bound of the fit: a dictionary is made of SLOTS labelled texts, each of them whole.
+SLOTS = 64
+#: Languages whose dictionaries are held at once, in tasks and on the driver; more are read block by block.
+LANGUAGES = 64
+#: Tables of up to this many rows, counted first, are broadcast.
+BROADCAST_ROWS = 100_000
 BLOCK = 4096
 #: Margins (bytes, share of the shortest code) under which a text is rejected.
-MIN_BYTES, MIN_SHARE = 1, 0.001
+MIN_BYTES, MIN_SHARE = 1, 0.03
 UNKNOWN = "und"
 
 #: Ends every dictionary and begins every block: its match pays for zstandard's least gain, so that
@@ -38,36 +45,53 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+class Dictionaries(dict):
+    """The last block of dictionaries, and the files of those before it; languages in the order that settles ties."""
+
+    def __init__(self, items=(), files: tuple[str, ...] = ()):
+        super().__init__(items)
+        self.files = tuple(files)
+
+    def __reduce__(self):
+        return Dictionaries, (dict(self), self.files)
+
+    def blocks(self) -> Iterator[dict[str, bytes]]:
+        for f in self.files:
+            yield pickle.loads(shared.read_range(f))
+        if self:
+            yield dict(self)
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Dictionaries:
     """Dictionaries from a bounded sample of ``labelled``.
 
     Each language's texts are dealt to ``SLOTS`` slots by their hash, and the text
-    of the smallest hash in each slot gives its first ``SLICE_CHARS`` characters, so
-    the sample is deterministic, ignores repeats and is bounded by
-    ``MAX_LANGUAGES * SLOTS * SLICE_CHARS``. Rows with null text or label, or
+    of the smallest hash in each slot is taken whole, so the sample is deterministic,
+    ignores repeats and has ``SLOTS`` texts a language at most. Rows with null text or label, or
     without letters, teach nothing. No labelled rows: no dictionaries. Languages come in
-    order of their rows, which settles ties.
+    order of their rows, which settles ties; past ``LANGUAGES`` of them, full blocks go to the shared folder.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    picked = least.limit(MAX_LANGUAGES * SLOTS + 1).collect()
-    if len(picked) > MAX_LANGUAGES * SLOTS or len({r.lang for r in picked}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not picked:
-        return {}
-    wanted = rows.where(F.col("h").isin(sorted({r.h for r in picked})))
-    slices = wanted.groupBy("lang", "h").agg(F.max(F.substring("text", 1, SLICE_CHARS)).alias("t")).collect()
-    pairs = {(r.lang, r.h) for r in picked}
-    rows_of: dict[str, int] = {}
-    for r in picked:
-        rows_of[r.lang] = rows_of.get(r.lang, 0) + r.n
-    made = {k: b"" for k in sorted(rows_of, key=lambda k: (-rows_of[k], k))}
-    for r in sorted(slices, key=lambda r: (r.lang, r.h)):
-        if (r.lang, r.h) in pairs:
-            made[r.lang] += canonical(r.t) + b" "
-    return made
+    least = shared.materialize(least, "language-slots")
+    size = least.groupBy("lang").agg(F.sum("n").alias("rows"))
+    picked = least.join(size, "lang").select(F.col("lang").alias("l"), F.col("h").alias("k"), "rows")
+    if least.count() <= BROADCAST_ROWS:
+        picked = F.broadcast(picked)
+    taken = rows.join(picked, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")))
+    taken = taken.groupBy("lang", "h", "rows").agg(F.max("text").alias("t")).orderBy(F.desc("rows"), "lang", "h")
+    made, files, folder = {}, [], None
+    for r in taken.toLocalIterator():  # a language after the other
+        if r.lang not in made and len(made) == LANGUAGES:
+            folder = folder or shared.shared_path(spark, "dictionaries")
+            files.append(shared.publish(folder, f"{len(files):06d}.pkl", lambda s, m=made: s.write(pickle.dumps(m))))
+            made = {}
+        made[r.lang] = made.get(r.lang, b"") + canonical(r.t) + b" "
+    shared.release(least)
+    return Dictionaries(made, files)
 
 
 class Coder:
@@ -76,8 +100,10 @@ class Coder:
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard as z
 
+        # A window that holds the whole dictionary: any passage of it can be matched.
+        window = max(18, min(27, (max(map(len, dictionaries.values()), default=0) + 2 * BLOCK).bit_length()))
         params = z.ZstdCompressionParameters(
-            window_log=18, chain_log=16, hash_log=17, search_log=3, min_match=4, target_length=8,
+            window_log=window, chain_log=16, hash_log=17, search_log=3, min_match=4, target_length=8,
             strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         self.langs = list(dictionaries)
@@ -91,19 +117,19 @@ class Coder:
         blocks = [_PAD + code[i : i + BLOCK] for i in range(0, len(code), BLOCK)]
         return [sum(len(c(b)) for b in blocks) for c in self.coders]
 
-    def classify(self, text: str | None) -> tuple[str, float, int, bool]:
-        """(language, score 0..1, margin in bytes, rejected)."""
-        if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0, 0, True
-        sizes = self.lengths(text)
-        order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        best = sizes[order[0]]
-        margin = sizes[order[1]] - best if len(order) > 1 else best
-        score = 1.0 / sum(math.exp(-min(700, (s - best) / 4.0)) for s in sizes)
-        return self.langs[order[0]], score, margin, margin < max(MIN_BYTES, MIN_SHARE * best)
+
+def verdict(langs: list[str], sizes: list[int]) -> tuple[str, float, int, bool]:
+    """(language, score 0..1, margin in bytes, rejected) from a text's code lengths; none: unknown."""
+    if not sizes:
+        return UNKNOWN, 0.0, 0, True
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    best = sizes[order[0]]
+    margin = sizes[order[1]] - best if len(order) > 1 else best
+    score = 1.0 / sum(math.exp(-min(700, (s - best) / 4.0)) for s in sizes)
+    return langs[order[0]], score, margin, margin < max(MIN_BYTES, MIN_SHARE * best)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", drop=()) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: Dictionaries, text: str = "text", drop=()) -> DataFrame:
     """``docs`` with lang_pred, score, margin and rejected; only ``text`` is read.
 
     Null, empty and letterless texts are ``und``, score 0, rejected. Ties go to
@@ -111,10 +137,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """
 
     def start():
-        coder = Coder(dictionaries)
+        held = [Coder(b) for b in dictionaries.blocks()] if not dictionaries.files else None
 
         def run(cols):
-            got = [coder.classify(t) for t in shared.texts(cols[0])]
+            said = [t if has_letter(t) else None for t in shared.texts(cols[0])]
+            langs, sizes = [], [[] for _ in said]
+            for coder in held if held is not None else map(Coder, dictionaries.blocks()):
+                langs += coder.langs
+                for t, s in zip(said, sizes):
+                    if t is not None:
+                        s += coder.lengths(t)
+            got = [verdict(langs, s) for s in sizes]
             return [
                 pa.array([g[0] for g in got], pa.string()),
                 pa.array([g[1] for g in got], pa.float64()),

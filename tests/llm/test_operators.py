@@ -73,12 +73,50 @@ def test_language(spark):
     empty = language_id.fit(table.where("lang is null"))
     assert empty == {} and language_id.identify(table, empty).where("lang_pred <> 'und'").count() == 0
     assert language_id.identify(table.limit(0), found).count() == 0
-    with pytest.raises(ValueError):
-        language_id.MAX_LANGUAGES, keep = 1, language_id.MAX_LANGUAGES
-        try:
-            language_id.fit(table)
-        finally:
-            language_id.MAX_LANGUAGES = keep
+
+
+def code_lengths(text, dictionaries):
+    """Bytes of a whole text under each dictionary, compressed block by block with contexts of their own."""
+    import zstandard as z
+
+    code = " ".join("".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in text.lower()).split()).encode()
+    out = {}
+    for k, d in dictionaries.items():
+        window = max(18, (max(map(len, dictionaries.values())) + 8192).bit_length())
+        params = z.ZstdCompressionParameters(window_log=window, chain_log=16, hash_log=17, search_log=3, min_match=4, target_length=8, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+        pad = bytes(range(1, 49))
+        content = z.ZstdCompressionDict(d + pad, dict_type=z.DICT_TYPE_RAWCONTENT)
+        parts = [z.ZstdCompressor(dict_data=content, compression_params=params).compress(pad + code[i : i + 4096]) for i in range(0, len(code), 4096)]
+        undo = z.ZstdDecompressor(dict_data=content, max_window_size=1 << 27)
+        assert b"".join(undo.decompress(p, max_output_size=1 << 20)[48:] for p in parts) == code
+        out[k] = sum(map(len, parts))
+    return out
+
+
+@pytest.mark.parametrize("languages", [2, 64])
+def test_language_is_that_of_the_shortest_code(spark, monkeypatch, languages):
+    """Against code lengths made anew, from dictionaries of whole texts, in one block and in several."""
+    monkeypatch.setattr(language_id, "LANGUAGES", languages)
+    rng = random.Random(21)
+    vocabulary = {k: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(60)] for k in ("aa", "bb", "cc", "dd", "ee")}
+    vocabulary["ff"] = vocabulary["aa"][:30] + vocabulary["bb"][:30]
+    rows = [(i, " ".join(rng.choices(vocabulary[k], k=rng.choice([3, 40, 900, 3000]))), k, 0.0, "x") for i, k in enumerate([*vocabulary, "aa"] * 6)]
+    table = spark.createDataFrame(rows, DOCS).repartition(3)
+    found = language_id.fit(table)
+    assert len(found.files) == (2 if languages == 2 else 0)
+    dictionaries = {k: d for block in found.blocks() for k, d in block.items()}
+    for k, d in dictionaries.items():  # made of whole texts: at most one a slot, and of nothing else
+        left = d
+        for t in sorted((t for _, t, lang, *_ in rows if lang == k), key=len, reverse=True):
+            left = left.replace(language_id.canonical(t) + b" ", b"", 1)
+        assert left == b"" and len(d) > 5000
+    assert list(dictionaries)[0] == "aa" and sorted(dictionaries) == sorted(vocabulary)
+    tests = [r[1] for r in rows[:12]] + [" ".join(rng.choices(vocabulary["aa"] + vocabulary["cc"], k=50)), "zz yy", "a"]
+    for r in language_id.identify(docs(spark, tests), found).collect():
+        want = code_lengths(r.text, dictionaries)
+        sizes = sorted(want.values())
+        assert r.lang_pred == min(want, key=want.__getitem__) and r.margin == sizes[1] - sizes[0]
+        assert r.rejected == (r.margin < max(language_id.MIN_BYTES, language_id.MIN_SHARE * sizes[0]))
 
 
 def test_language_held_out(spark, sf):
