@@ -406,10 +406,27 @@ def test_embeddings(spark, block):
     assert embedding_join.near_duplicates(table.where("embedding is null")).count() == 1
 
 
-def test_distant_blocks_are_skipped():
-    boxes = np.array([[[i, 0.0], [i + 0.5, 0.1]] for i in range(40)], float)
-    pairs = embedding_join._join(boxes, 0.6)
-    assert sorted(pairs) == sorted([(i, i) for i in range(40)] + [(i, i + 1) for i in range(39)])
+def test_distant_blocks_are_skipped(spark):
+    for fan in (2, 8):
+        boxes = spark.createDataFrame([(i, float(i), i + 0.5, 0.0, 0.1) for i in range(40)], "b long, lo0 double, hi0 double, lo1 double, hi1 double")
+        pairs = embedding_join.block_pairs(boxes, 40, 2, 0.6, fan)
+        assert sorted((r.i, r.j) for r in pairs.collect()) == sorted([(i, i) for i in range(40)] + [(i, i + 1) for i in range(39)])
+    assert embedding_join.block_pairs(boxes.limit(0), 0, 2, 0.6).count() == 0
+
+
+def test_clustered_vectors_meet_their_own_blocks_only(spark, monkeypatch):
+    """Blocks of distant clusters are skipped, the driver sees no pair, and the links are all there."""
+    rng = np.random.default_rng(18)
+    centres = np.concatenate([np.eye(8), -np.eye(8)])
+    vecs = [(i, (centres[i % 16] + rng.normal(scale=0.05, size=8)).tolist()) for i in range(800)]
+    seen = []
+    links = embedding_join._links
+    monkeypatch.setattr(embedding_join, "_links", lambda todo, *a: seen.append(sum(len(r.js) for r in todo.collect())) or links(todo, *a))
+    got = embedding_join.near_duplicates(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), block=10, grid_dims=8).collect()
+    x = np.array([v for _, v in vecs])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
+    assert seen[0] < 0.3 * 82 * 81 / 2
 
 
 # --- 9 substring dedup
