@@ -1,14 +1,15 @@
 """Packing along a space-filling curve.
 
 A document's token counts are projected by hashing to a few dimensions, and the
-point's place on a Hilbert curve is its key. Documents are range-sorted by key
-and laid end to end along the curve; a sequence is each stretch of SEQUENCE
-tokens. Neighbours on the curve share sequences, and only the very last sequence
-of the corpus is not full.
+point's place on a Hilbert curve is its key. Documents are range-sorted by key, in
+ranges of like numbers of tokens, and laid end to end along the curve; a sequence is each
+stretch of SEQUENCE tokens. Neighbours on the curve share sequences, and only the very last
+sequence of the corpus is not full.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,12 @@ from . import encoding, shared
 SEQUENCE, END_ID = 4096, 2
 #: Dimensions of the projection and bits of each on the curve.
 DIMS, BITS = 4, 10
+#: Bits of the id's hash that spread documents of one key over ranges.
+SPREAD = 20
+#: Points a range that its bounds are drawn from, by tokens.
+POINTS = 64
+#: The mean of a document's token directions seldom exceeds 1 / SCALE.
+SCALE = 5.0
 
 
 def signs(n: int, dims: int = DIMS) -> np.ndarray:
@@ -63,9 +70,39 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def place(vector: np.ndarray, n_tokens: int) -> np.ndarray:
-    """Grid point of a projected document: the mean direction, spread by its length."""
-    scaled = vector / np.sqrt(max(1, n_tokens))
-    return np.clip((np.tanh(scaled / 4.0) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
+    """Grid point of a projected document: the mean direction of its tokens, whatever its length."""
+    scaled = SCALE * vector / max(1, n_tokens)
+    return np.clip((np.tanh(scaled) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
+
+
+def range_bounds(tokens: DataFrame, parts: int) -> list[int]:
+    """Bounds of ``parts`` ranges of ``pos`` with like sums of ``n``, from about POINTS drawn documents a range.
+
+    A document is drawn by its tokens, so a few long ones weigh what they hold. The
+    bounds say which task lays a document, and nothing about the layout's order.
+    """
+    total = tokens.agg(F.sum("n")).first()[0]
+    if not total or parts < 2:
+        return []
+    unit = total / (parts * POINTS)
+    u = F.pmod(F.xxhash64("pos", "id", "n"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = tokens.where(u < F.col("n") / unit).groupBy("pos").agg(F.sum(F.greatest(F.lit(1.0), F.col("n") / unit)).alias("w"))
+    points = sorted((r.pos, r.w) for r in drawn.collect())  # about POINTS a range
+    weight = np.cumsum([w for _, w in points])
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, parts) / parts) if len(points) else []
+    return [points[i][0] for i in np.unique(at)]
+
+
+def range_of(pos, bounds: list[int]):
+    """How many of the sorted ``bounds`` are at or below ``pos``, in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    fine = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    among = lambda values: F.size(F.filter(values, lambda b: b <= pos))
+    full = among(F.array(*[F.lit(f[-1]) for f in fine]))
+    rest = F.try_element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), full + 1)
+    return (F.least(full * step, F.lit(len(bounds))) + F.coalesce(F.when(rest.isNotNull(), among(rest)), F.lit(0))).cast("int")
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int) -> DataFrame:
@@ -96,27 +133,30 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``with_ids`` adds the piece's ids. Null and empty texts are ``end_id`` alone.
-    Equal keys are ordered by id (nulls first), then by ids, so repeated rows are
+    Equal keys are ordered by a hash of the id, by id (nulls first), then by ids, so repeated rows are
     laid side by side, each in its own piece. An empty table has no pieces.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range-sorting samples its input first: a written table is read twice, but texts are encoded once.
+    # The bounds of the ranges are drawn first: a written table is read twice, but texts are encoded once.
     tokens = shared.materialize(encoded(docs, tokenizer, id_col, text, end_id), "encoded")
-    ordered = tokens.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id", "ids")
+    pos = F.shiftleft("key", SPREAD).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << SPREAD) - 1)))
+    bounds = range_bounds(tokens.select("id", "n", pos.alias("pos")), n)
+    ordered = tokens.select("id", "n", "width", "ids", pos.alias("pos")).withColumn("part", range_of(F.col("pos"), bounds))
+    ordered = ordered.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "pos", "id", "ids")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
+        now, at = -1, 0
         for batch in batches:
-            size = batch.column(1).to_numpy()
+            size, part = batch.column(1).to_numpy(), batch.column(4).to_numpy()
             start = at + np.cumsum(size) - size
-            at += int(size.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(start)], ["id", "n", "width", "ids", "part", "at"])
+            for i in np.flatnonzero(np.diff(part, prepend=now)).tolist():  # another range begins
+                start[i:] -= start[i]
+            now, at = part[-1], int(start[-1] + size[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], ["id", "n", "width", "ids", "part", "at"])
 
     # Every row carries its place in its range, so the table is read back in any order and any splits.
-    laid = shared.map_arrow(ordered.select("id", "n", "width", "ids"), lay, "id long, n long, width int, ids binary, part int, at long")
+    laid = shared.map_arrow(ordered.select("id", "n", "width", "ids", "part"), lay, "id long, n long, width int, ids binary, part int, at long")
     laid = shared.materialize(laid, "laid-tokens")
     shared.release(tokens)
     # A row a range: the tokens before each range are known once all are counted.

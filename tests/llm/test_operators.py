@@ -263,6 +263,35 @@ def test_packing(spark):
     assert packing.pack(table.limit(0), WORD).count() == 0
 
 
+def test_ranges_hold_like_numbers_of_tokens(spark):
+    """A third of the rows under one key, a few very long ones: the largest range is under twice the median."""
+    rng = random.Random(31)
+    rows = [(i, rng.choice([3, 50, 50, 400]) if i % 50 else 3000, 7 << 20 | rng.randrange(1 << 20) if i % 3 == 0 else rng.randrange(1 << 40)) for i in range(20_000)]
+    table = spark.createDataFrame(rows, "id long, n long, pos long")
+    bounds = packing.range_bounds(table, 20)
+    assert len(bounds) == 19 and packing.range_bounds(table.limit(0), 20) == [] and packing.range_bounds(table, 1) == []
+    got = table.withColumn("p", packing.range_of(F.col("pos"), bounds)).collect()
+    sizes = {}
+    for r in got:
+        assert r.p == sum(b <= r.pos for b in bounds)
+        sizes[r.p] = sizes.get(r.p, 0) + r.n
+    sizes = sorted(sizes.values())
+    assert len(sizes) == 20 and sizes[-1] < 2 * sizes[10]
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Neighbours share a language far more often than chance would have it, long and short texts alike."""
+    docs_ = shared.table(spark, "/root/testdata/sf0.01", "documents").where("length(text) > 200 and lang is not null")
+    keys = packing.encoded(docs_, WORD, "doc_id", "text", 2).select("key", "id", "n")
+    rows = keys.join(docs_, F.col("id") == F.col("doc_id")).orderBy("key", "id").select("lang", "n", "key").collect()
+    langs = [r.lang for r in rows]
+    alike = sum(a == b for a, b in zip(langs, langs[1:])) / (len(langs) - 1)
+    chance = sum((langs.count(x) / len(langs)) ** 2 for x in set(langs))
+    assert alike > chance + 0.5 * (1 - chance), (alike, chance)
+    long = [r for r in rows if r.n > sorted(x.n for x in rows)[len(rows) * 9 // 10]]
+    assert len({r.key for r in long}) > 0.95 * len({r.n for r in long})
+
+
 # --- 5 WARC
 
 @pytest.mark.parametrize("roll", [300, 1 << 20])
