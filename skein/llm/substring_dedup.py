@@ -7,8 +7,9 @@ is cut alike wherever it stands. From each piece on, the run of the next RUN
 pieces, or more until it has MIN_WORDS words, is hashed, and so is the run back from each
 piece, so that both ends of a passage are in runs that lie inside it; runs are joined over the
 whole corpus, and the pieces of each run that is not its first occurrence are
-removed. The first occurrence is the one with the least id (null ids last), then
-the least place in its text.
+removed. The first occurrence is the one with the least id (null ids last, each text
+of theirs a document of its own), then the least place in its text. Texts are cut and
+hashed once; only those with something to remove are cut again.
 """
 
 from __future__ import annotations
@@ -97,86 +98,98 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _unit(id_col: str, text: str):
+    """Tells documents with a null id apart, by text; 0 for those with an id."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """(id, h1, h2): each document's distinct runs. Null and short texts have none."""
+    """(id, unit, h1, h2, again): each document's distinct runs, and whether its text has one more than once. Null and short texts have none."""
     shared.ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), _unit(id_col, text).alias("unit"), F.col(text).alias("text"))
     ids = rows.schema["id"].dataType.simpleString()
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, found, held = [], [], 0
-            for i, t in enumerate(shared.texts(batch.column(1))):
+            where, found, twice, held = [], [], [], 0
+            for i, t in enumerate(shared.texts(batch.column(2))):
                 if t:
-                    h = np.unique(run_hashes(pieces(t, max_words), run, min_words)[2], axis=0)
+                    h, n = np.unique(run_hashes(pieces(t, max_words), run, min_words)[2], axis=0, return_counts=True)
                     where.append(np.full(len(h), i))
                     found.append(h)
+                    twice.append(n > 1)
                     held += len(h)
                 if held > 200_000 or i == batch.num_rows - 1:
                     if held:
-                        h = np.concatenate(found)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(where))), pa.array(h[:, 0]), pa.array(h[:, 1])], ["id", "h1", "h2"])
-                    where, found, held = [], [], 0
+                        h, at = np.concatenate(found), pa.array(np.concatenate(where))
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(at), batch.column(1).take(at), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.concatenate(twice))], ["id", "unit", "h1", "h2", "again"]
+                        )
+                    where, found, twice, held = [], [], [], 0
 
-    return shared.map_arrow(rows, f, f"id {ids}, h1 long, h2 long")
+    return shared.map_arrow(rows, f, f"id {ids}, unit long, h1 long, h2 long, again boolean")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with ``text`` less its repeated spans, n_pieces, n_removed and ``removed``.
+    """``docs`` with ``text`` less its repeated spans, n_removed and ``removed``.
 
     ``removed`` has the character ranges [start, end) cut from the old text. Within a
     text every repeat after the first goes. Rows with equal id count as one
-    document in two parts: repeats between them stay. Null texts stay null. A
+    document in two parts: repeats between them stay. Rows with a null id are documents
+    after all others, told apart by text; equal ones are cut alike. Null texts stay null. A
     run repeated in its own overlap (the same sentence many times) is cut down to
     its first occurrence too.
     """
     found = shared.materialize(spans(docs, id_col, text, run, min_words, max_words), "spans")
     # Null ids come last: they never own a span while a row with an id has it.
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    first = first.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    again = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.col("id").eqNullSafe(F.col("first")))
-    gone = again.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).select(F.col("id").alias("gone_id"), "gone")
+    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("unit").alias("first_unit")).where("n > 1")
+    first = first.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", "first_unit")
+    owner = F.col("id").eqNullSafe(F.col("first")) & (F.col("id").isNotNull() | (F.col("unit") == F.col("first_unit")))
+    later = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~owner).select("id", "unit", F.struct("h1", "h2").alias("span"))
+    # A text with a repeat of its own is cut again too, even if it owns its spans.
+    own = found.where("again").select("id", "unit").distinct().withColumn("span", F.lit(None).cast("struct<h1:bigint,h2:bigint>"))
+    gone = later.union(own).groupBy("id", "unit").agg(F.collect_set("span").alias("gone")).select(F.col("id").alias("gone_id"), F.col("unit").alias("gone_unit"), "gone")
     gone = shared.materialize(gone, "repeated-spans")
     shared.release(found)
-    held = shared.without(docs, ("gone", "gone_id", "n_pieces", "n_removed", "removed"))
+    held = shared.without(docs, ("gone", "gone_id", "gone_unit", "n_removed", "removed"))
     old = docs.select(*[F.col(f"`{c}`") for c in held])
-    joined = old.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    same = F.col(id_col).eqNullSafe(F.col("gone_id")) & (_unit(id_col, text) == F.col("gone_unit"))
+    joined = old.join(gone, same, "left").drop("gone_id", "gone_unit")
 
     def start():
         def one(t, hashes):
-            parts = pieces(t, max_words) if t else []
+            if hashes is None or not t:
+                return t, []
+            parts = pieces(t, max_words)
             begin, end, h = run_hashes(parts, run, min_words)
-            if not len(begin):
-                return t, len(parts), []
-            known = {(x["h1"], x["h2"]) for x in hashes or ()}
+            known = {(x["h1"], x["h2"]) for x in hashes}
             cut, seen = np.zeros(len(parts), bool), set()
             for i, j, pair in zip(begin.tolist(), end.tolist(), map(tuple, h.tolist())):
                 if pair in known or pair in seen:
                     cut[i:j] = True
                 seen.add(pair)
             if not cut.any():
-                return t, len(parts), []
+                return t, []
             edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]]))).tolist()
             ranges = [(parts[a][0], parts[b - 1][1]) for a, b in zip(edge[::2], edge[1::2])]
             kept, last = [], 0
             for a, b in ranges:
                 kept.append(t[last:a])
                 last = b
-            return "".join([*kept, t[last:]]), len(parts), ranges
+            return "".join([*kept, t[last:]]), ranges
 
         def call(cols):
             got = [one(t, g) for t, g in zip(shared.texts(cols[0]), map(lambda v: v.as_py(), cols[1]))]
             ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             return [
                 pa.array([g[0] for g in got], pa.string()),
-                pa.array([g[1] for g in got], pa.int64()),
-                pa.array([len(g[2]) for g in got], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in g[2]] for g in got], ranges),
+                pa.array([len(g[1]) for g in got], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in g[1]] for g in got], ranges),
             ]
 
         return call
 
-    ddl = f"`{text}` string, n_pieces long, n_removed long, removed array<struct<start:long,end:long>>"
+    ddl = f"`{text}` string, n_removed long, removed array<struct<start:long,end:long>>"
     return shared.append_columns(joined, [text, "gone"], ddl, start, drop=["gone"])
 
 
@@ -184,4 +197,4 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its repeated passages removed."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove(docs)
-    return out.select("doc_id", "text", "n_pieces", "n_removed", "removed", (F.col("n_removed") > 0).alias("has_repeats"))
+    return out.select("doc_id", "text", "n_removed", "removed", (F.col("n_removed") > 0).alias("has_repeats"))

@@ -495,6 +495,59 @@ def test_substrings_to_both_ends_and_without_spaces(spark):
     assert got == [texts[0], own[2] + own[3], texts[2], wide[2] + wide[3]]
 
 
+def brute_removed(rows):
+    """The text each (id, text) is left with, from all runs of pieces compared as words."""
+
+    def cut_up(t):
+        parts = substring_dedup.pieces(t) if t else []
+        n = len(parts)
+        count = lambda a, b: sum(len(p[2]) for p in parts[a:b])
+        runs = set()
+        for i in range(n):
+            on = [j for j in range(i + 3, n + 1) if count(i, j) >= 20]
+            back = [j for j in range(i - 1, -1, -1) if i + 1 - j >= 3 and count(j, i + 1) >= 20]
+            runs |= {(i, on[0])} if on else set()
+            runs |= {(back[0], i + 1)} if back else set()
+        return parts, sorted((i, j, tuple(" ".join(p[2]).lower() for p in parts[i:j])) for i, j in runs)
+
+    made = [cut_up(t) for _, t in rows]
+    rank = [(i is None, i or 0, xxhash.xxh64(t or "", seed=42).intdigest() if i is None else 0) for i, t in rows]
+    signed = [(z, i, u - (1 << 64) if u >> 63 else u) for z, i, u in rank]
+    first = {}
+    for r, (_, runs) in zip(signed, made):
+        for *_, words in runs:
+            first[words] = min(first.get(words, r), r)
+    out = []
+    for (_, t), r, (parts, runs) in zip(rows, signed, made):
+        gone, seen = set(), set()
+        for i, j, words in runs:
+            if words in seen or first[words] != r:
+                gone.update(range(i, j))
+            seen.add(words)
+        ends = [(parts[k][0], parts[k][1]) for k in sorted(gone)]
+        kept, at = "", 0
+        for k, (a, b) in enumerate(ends):
+            if k and ends[k - 1][1] <= a and sorted(gone)[k] == sorted(gone)[k - 1] + 1:
+                at = b
+                continue
+            kept += t[at:a]
+            at = b
+        out.append(t if t is None else kept + t[at:])
+    return out
+
+
+def test_substrings_against_brute_force(spark):
+    """Shared passages, repeats inside a text, null ids, several rows of an id and repeated rows."""
+    rng = random.Random(19)
+    sentences = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([2, 5, 9, 11, 25]))) + rng.choice([". ", "! ", "\n"]) for _ in range(25)]
+    rows = [(rng.choice([None, None, *range(20)]), "".join(rng.choices(sentences, k=rng.randrange(14)))) for _ in range(70)]
+    rows += [(None, None), (3, None), rows[5], rows[5], (None, rows[7][1]), (None, rows[7][1])]
+    got = substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = sorted(zip((i for i, _ in rows), brute_removed(rows)), key=str)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
+    assert all(sum(x.end - x.start for x in r.removed) > 0 for r in got if r.n_removed)
+
+
 # --- 10 SimHash
 
 def brute_print(text):
