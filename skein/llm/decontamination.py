@@ -141,7 +141,7 @@ class Phrases:
         for item, text in items:
             w = [vocabulary.setdefault(x, len(vocabulary) + 2) for x in words(text)]
             for i in range(max(len(w) - window + 1, min(1, len(w)))):
-                patterns.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+                patterns.setdefault(tuple(w[i : i + window]), set()).update([] if item is None else [str(item)])
         self.vocabulary, self.sigma = vocabulary, len(vocabulary) + 2
         self.lengths = np.array([len(p) for p in patterns], np.int64)
         self.patterns = np.ones((len(patterns), window), np.int64)
@@ -208,7 +208,8 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     """``docs`` with n_words, n_hit, item_ids and merged word spans [start, end).
 
     Null and empty texts have no words and no hits; null, empty and wordless
-    benchmark items match nothing; repeated items count once by item_id. Benchmarks
+    benchmark items match nothing; repeated items count once by item_id; items of null
+    id hit words and are no item of a document. Benchmarks
     over ``phrase_bytes`` are written to the shared folder in blocks of that size and
     searched one after another, so neither driver nor task holds them whole.
     """
@@ -272,5 +273,20 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", n_items.alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
-        (n_items >= 2).alias("contaminated"), "spans",
+        (n_items >= 2).alias("contaminated"),
     )
+
+
+#: Windows as joined words, looked up among all windows of the documents of that length; words hit are counted once.
+ORACLE = r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select item_id, least(8, len(w)) as n, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as pos, w from b where len(w) > 0),
+p as materialized (select distinct item_id, n, array_to_string(w[pos:pos + n - 1], ' ') as p from i),
+m as (select distinct n from p),
+x as (select r, n, unnest(range(1, len(w) - n + 2)) as pos, w from d, m where len(w) >= n),
+h as materialized (select x.r, x.pos, p.n, p.item_id from x join p on p.n = x.n and p.p = array_to_string(x.w[x.pos:x.pos + x.n - 1], ' ')),
+c as (select r, count(distinct pos + k) as n_hit from (select r, pos, unnest(range(0, n)) as k from h) group by r),
+t as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, item_id::varchar as id from h where item_id is not null) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(t.n_items, 0)::bigint as n_items,
+  sha256(coalesce(t.ids, '')) as items_sha256, coalesce(t.n_items, 0) >= 2 as contaminated
+from d left join c on c.r = d.r left join t on t.r = d.r"""

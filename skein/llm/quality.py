@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     read; their table is bounded and is broadcast to the texts. Then all ``docs`` are scored
     once, only ids and utilities are joined to ``labels``, and the cut is their exact quantile
     at the share of bad labels, counted over all of ``labels``. Null ids and labels are ignored, an id with both labels
-    counts as bad, null texts count as empty. One label only: every score is THRESHOLD.
+    counts as bad, null texts count as empty; labels of no document and documents without label teach
+    nothing. One label only, or an empty table: every score is THRESHOLD.
     """
     shared.ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label).cast("int").alias("y")).where("label_id is not null and y in (0, 1)")
@@ -174,7 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, ranker: Ranker, text: str = "text", drop=()) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``; null texts score as empty ones."""
+    """``docs`` with ``score`` (0 to 1) and ``predicted``; null texts score as empty ones.
+
+    A score depends on the row's text alone: equal texts score alike, repeated rows are
+    rows of their own. An empty table gives no rows; columns with an output's name are replaced.
+    """
 
     def start():
         def run(cols):

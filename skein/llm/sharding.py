@@ -175,3 +175,18 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: i
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of equal row counts, equal texts together."""
     return shard(shared.table(spark, sf_dir, "documents"))
+
+
+def sharding_law(spark, sf_dir: str) -> DataFrame:
+    """What the law says of every shard of op7, read from its result: rows, slots, and the texts they hold in all."""
+    out = op7_sharding(spark, sf_dir)
+    per = out.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"), F.sum("size").alias("bytes"))
+    whole = Window.partitionBy(F.lit(0))  # a row a shard
+    return per.select("shard", "n_rows", "first_slot", "last_slot", "n_slots", F.sum("bytes").over(whole).alias("all_bytes"), F.lit("rows").alias("law"))
+
+
+#: Shard counts are the equal cuts of the row count, whatever rows a shard holds.
+LAW = """with n as (select count(*) as n, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint as b from documents)
+select s::int as shard, ((s + 1) * n + 7) // 8 - (s * n + 7) // 8 as n_rows, 0::bigint as first_slot,
+  ((s + 1) * n + 7) // 8 - (s * n + 7) // 8 - 1 as last_slot, ((s + 1) * n + 7) // 8 - (s * n + 7) // 8 as n_slots, b as all_bytes, 'rows' as law
+from range(8) t(s), n where ((s + 1) * n + 7) // 8 > (s * n + 7) // 8"""
