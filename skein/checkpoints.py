@@ -8,11 +8,19 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def base(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is chosen only where it is unset."""
+    """The folder named by spark.checkpoint.dir; one is chosen only where it is unset and all run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or f"/tmp/checkpoints/skein-{spark.sparkContext.applicationId}").rstrip("/")
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have what lies at ``path`` deleted when the application ends, unless it is deleted before."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 class Rounds:
     """Tables of successive rounds; a round's table goes once no later plan reads it."""
 
@@ -34,6 +42,8 @@ class Rounds:
     def _write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        if not self.paths:
+            forget_at_exit(self.spark, self.root)
         self.paths.append(path)
         while len(self.paths) > self.keep:
             self._delete(self.paths.pop(0))
