@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import checkpoints
 from ..session import ship
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,23 +24,25 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 
 def shared_base(spark: SparkSession) -> str:
     """Folder that all executors share; one is set only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/skein-{spark.sparkContext.applicationId}"
+    base = checkpoints.base(spark)
     if "://" not in base:
         base = f"file://{base}" if base.startswith("/") else base.replace("file:/", "file:///", 1)
     return base.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_base(spark)}/skein/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; what is there when the application ends is deleted."""
+    path = f"{shared_base(spark)}/skein/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    checkpoints.forget_at_exit(spark, path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("append").option("compression", "zstd").parquet(path)  # the folder is there
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out

@@ -37,8 +37,36 @@ def test_stages_take_empty_tables(spark, sf):
 def test_stages_take_odd_rows(spark, sf):
     rows = [(1, None, None, None, None), (None, "the other thing within order", "en", "s", 3), (2, "", "en", "s", 0), (3, "the other thing within order", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("spans", docs_extra())
-    for _, stage in cp.STAGES:
-        stage(spark, docs, sf).count()
+    same = "the other thing within order"
+
+    def left(name):
+        out = dict(cp.STAGES)[name](spark, docs, sf)
+        assert name == "packing" or out.columns == cp.COLUMNS
+        return sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str) if name != "packing" else out.collect()
+
+    # One language is learned: what has no letter goes, all else stays as it is.
+    assert left("language_id") == sorted([(None, same, 3), (3, same, 3)], key=str)
+    # The null text is a copy of the empty one, and the row of null id a copy of row 3's.
+    assert left("simhash_near_dedup") == sorted([(1, None, None), (3, same, 3)], key=str)
+    # No text has three pieces of 20 words: nothing is cut, n_chars is made anew.
+    assert left("substring_dedup") == sorted([(1, None, None), (2, "", 0), (3, same, 28), (None, same, 28)], key=str)
+    assert left("decontamination") == left("substring_dedup")
+    pieces = left("packing")
+    assert sorted((str(r.doc_id), r.length, r.doc_tokens) for r in pieces) == [("1", 1, 1), ("2", 1, 1), ("3", 6, 6), ("None", 6, 6)]
+    assert sorted(r.offset for r in pieces) in ([0, 1, 2, 8], [0, 1, 7, 8], [0, 1, 7, 13], [0, 6, 7, 8], [0, 6, 12, 13], [0, 6, 7, 13])
+
+
+def test_near_dedup_tells_rows_apart(spark, sf):
+    """Rows of null id, of one id in two groups, and listed twice: one row a group stays."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "x"), (None, "x"), (None, "y"), (2, "y"), (2, "z"), (2, "z"), (5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("lang string", "source string", "n_chars long"):
+        name, kind = c.split()
+        docs = docs.withColumn(name, F.lit(None).cast(kind))
+    out = dict(cp.STAGES)["simhash_near_dedup"](spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "x"), (2, "y"), (2, "z")]
 
 
 def docs_extra():
