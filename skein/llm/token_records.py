@@ -167,6 +167,43 @@ def read(manifest: DataFrame, batch_records: int = 4096) -> DataFrame:
     return shared.map_arrow(table.repartition(len(starts), "file"), run, ddl)
 
 
+def fetch(manifest: DataFrame, numbers: DataFrame, column: str = "number") -> DataFrame:
+    """Records by their numbers in file order, in whatever order they are asked for: number, doc_id, ids.
+
+    Each is found by its offset in the index, and only its bytes are read. A number asked
+    for twice comes twice, a null one has null columns; one that no record has is a ValueError.
+    """
+    shared.ship(manifest.sparkSession)
+    files = [(r.file, r.n_records, r.index_crc) for r in manifest.collect()]
+    begin = np.cumsum([0, *[n for _, n, _ in files]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            known = [n for n in asked if n is not None]
+            if known and not (0 <= min(known) and max(known) < begin[-1]):
+                raise ValueError(f"record numbers are 0 to {begin[-1] - 1}")
+            got: dict[int, tuple] = {}
+            for f in np.unique(np.searchsorted(begin, known, "right") - 1).tolist():
+                name, _, crc = files[f]
+                index = shared.read_range(name.removesuffix(".rec") + ".idx")
+                if zlib.crc32(index) != crc:
+                    raise ValueError(f"bad index of {name}")
+                entries = np.frombuffer(index, "<u8").reshape(-1, 3)
+                fsys, path = shared.filesystem(name)
+                with fsys.open_input_file(path) as stream:
+                    for n in sorted({n for n in known if begin[f] <= n < begin[f + 1]}):
+                        at, _, size = entries[n - int(begin[f])].tolist()
+                        stream.seek(at)
+                        doc, ids = unpack(unframe(stream.read(size + 16))[0])
+                        got[n] = doc, ids.tolist()
+            none = None, None
+            rows = [got.get(n, none) for n in asked]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.list_(pa.int64()))], ["number", "doc_id", "ids"])
+
+    return shared.map_arrow(numbers.select(F.col(column).cast("long").alias("number")), run, "number long, doc_id long, ids array<long>")
+
+
 def op2_token_records(spark, sf_dir: str) -> DataFrame:
     """Write all documents as token records, then read the files back."""
     import public_tokenizers

@@ -182,6 +182,18 @@ def test_token_records(spark, roll):
     assert token_records.read(token_records.write(table.limit(0), BYTE, shared.shared_path(spark, "tok"))).count() == 0
 
 
+@pytest.mark.parametrize("roll", [64, 1 << 20])
+def test_token_records_in_any_order(spark, roll):
+    texts = [f"{i} " * (i % 7) for i in range(60)]
+    manifest = token_records.write(docs(spark, texts), BYTE, shared.shared_path(spark, "tok"), roll_bytes=roll)
+    order = [int(x) for x in np.random.default_rng(3).permutation(60)] + [5, 5, None]
+    out = token_records.fetch(manifest, spark.createDataFrame([(n,) for n in order], "number long").coalesce(1)).collect()
+    assert [(r.number, r.doc_id) for r in out] == [(n, n) for n in order]
+    assert all(r.ids is None if r.number is None else r.ids == ids_of(BYTE, texts[r.number]).tolist() for r in out)
+    with pytest.raises(Exception, match="record numbers"):
+        token_records.fetch(manifest, spark.createDataFrame([(60,)], "number long")).collect()
+
+
 # --- 3 decontamination
 
 def brute_hits(text, items):
