@@ -22,16 +22,16 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Rounds:
-    """Tables of successive rounds; a round's table goes once no later plan reads it."""
+    """Tables of successive rounds, until they are dropped or the application ends."""
 
-    def __init__(self, spark: SparkSession, name: str, keep: int = 2):
-        self.spark, self.root, self.keep, self.paths = spark, f"{base(spark)}/skein/{name}-{uuid.uuid4().hex}", keep, []
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, f"{base(spark)}/skein/{name}-{uuid.uuid4().hex}", {}
 
     def cut(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
         """The table of a round, and aggregates of it that are taken while it is written.
 
-        A task that runs twice can raise them, so they may steer, and tell zero from
-        more, but are no result.
+        They are taken in the stage that writes, whose tasks count once however often they
+        run, so they are exact.
         """
         if not measures:
             return self._write(df), {}
@@ -42,13 +42,16 @@ class Rounds:
     def _write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        if not self.paths:
+        if not self.made:
             forget_at_exit(self.spark, self.root)
-        self.paths.append(path)
-        while len(self.paths) > self.keep:
-            self._delete(self.paths.pop(0))
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this object that no later plan reads; others are left alone."""
+        for t in tables:
+            _, path = self.made.pop(id(t), (None, None))
+            if path:
+                p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -87,11 +87,14 @@ def page_rank_delta(graph: Graph, max_iterations: int, mode: str = "reference",
     state = _start(graph, F.lit(True)).withColumns({"delta": F.lit(1.0 / n), "rank": F.lit(0.0)})
     mapper = EdgeMapper(message=lambda: F.col("delta") / F.col("degree"), combine=F.sum, has_output=False, source=("delta", "degree"))
     rounds = Rounds(graph.spark, "rank")
-    (state, _), size = rounds.cut(state), n
+    seen = {
+        "n": F.count_if("active"), "d": F.coalesce(F.sum(F.when(F.col("active"), F.col("degree"))), F.lit(0)),
+        "error": F.sum("delta" if how.signed_error else F.abs("delta")),
+    }
+    state, size = rounds.cut(state, **seen)
     for k in range(max_iterations):
-        total = graph.num_rels and state.where("active").agg(F.sum("degree")).first()[0] or 0
-        way = "pull" if total > graph.threshold else "push"
-        got = messages(graph, state.where("active"), mapper, way, size).select(F.col("dst").alias("id"), "m")
+        way = "pull" if size["d"] > graph.threshold else "push"
+        got = messages(graph, state.where("active"), mapper, way, size["n"]).select(F.col("dst").alias("id"), "m")
         joined = state.join(got, "id", "left").withColumn("ngh", F.coalesce("m", F.lit(0.0)))
         if k == 0:
             x = F.col("ngh") * damping + base
@@ -103,10 +106,9 @@ def page_rank_delta(graph: Graph, max_iterations: int, mode: str = "reference",
             step = joined.select("id", "degree", change.alias("delta"), F.col("rank"))
             big = F.abs("delta" if how.relative else "rank") > F.col("rank") * threshold
             step = step.select("id", "degree", "delta", F.when(big, F.col("rank") + F.col("delta")).otherwise(F.col("rank")).alias("rank"), big.alias("active"))
-        state, _ = rounds.cut(step)
-        row = state.agg(F.sum("delta" if how.signed_error else F.abs("delta")).alias("error"), F.count_if("active").alias("n")).first()
-        size = row.n
-        if row.error < tolerance:
+        before, (state, size) = state, rounds.cut(step, **seen)  # one job a round
+        rounds.drop(before)
+        if size["error"] < tolerance:
             break
     return state.select("id", "rank")
 

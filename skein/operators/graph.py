@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A frontier whose out-degrees sum to more than 1/FRACTION of the edges is dense.
 FRACTION = 20
+#: A partition of edges has about this many, if there are no more than partitions.
+PART_EDGES = 50_000
 
 
 class Graph:
@@ -74,23 +76,52 @@ class Graph:
         return self.num_rels // FRACTION
 
     def _parts(self) -> int:
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """Partitions of a view: those of a shuffle, fewer where they would hold few edges."""
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(most, -(-self.num_rels // PART_EDGES)))
+
+    def _hubs(self, by: str) -> DataFrame:
+        """(hub, splits): nodes with more edges than a fair partition has, of which there are at most as many as partitions."""
+        fair = max(1, self.num_rels // self._parts())
+        counted = self.edges.groupBy(F.col(by).alias("hub")).agg(F.count("*").alias("n")).where(F.col("n") > fair)
+        rows = counted.select("hub", F.ceil(F.col("n") / F.lit(fair)).cast("int").alias("splits")).collect()
+        return F.broadcast(self.spark.createDataFrame(rows, "hub long, splits int"))
+
+    @cached_property
+    def out_hubs(self) -> DataFrame:
+        return self._hubs("src")
+
+    @cached_property
+    def in_hubs(self) -> DataFrame:
+        return self._hubs("dst")
+
+    def _view(self, by: str, other: str, hubs: DataFrame) -> DataFrame:
+        marked = self.edges.join(hubs, F.col(by) == F.col("hub"), "left")
+        part = F.coalesce(F.pmod(F.xxhash64(other), F.col("splits")), F.lit(0)).cast("int")
+        return marked.select("src", "dst", part.alias("part")).repartition(self._parts(), by, "part").cache()
 
     @cached_property
     def out_view(self) -> DataFrame:
-        """Edges dealt by source, kept for the rounds of a push."""
-        return self.edges.repartition(self._parts(), "src").cache()
+        """(src, dst, part): edges dealt by source, a hub's over several parts, kept for the rounds of a push."""
+        return self._view("src", "dst", self.out_hubs)
 
     @cached_property
     def in_view(self) -> DataFrame:
-        """Edges dealt by target: aggregates by target need no further exchange."""
-        return self.edges.repartition(self._parts(), "dst").cache()
+        """(src, dst, part): edges dealt by target, a hub's over several parts, kept for the rounds of a pull."""
+        return self._view("dst", "src", self.in_hubs)
 
     def unpersist(self) -> None:
         for name in ("out_view", "in_view"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 
+    @staticmethod
+    def spread(rows: DataFrame, hubs: DataFrame, key: str) -> DataFrame:
+        """``rows`` with ``part``: a hub's row once for each part of its edges, all others once."""
+        marked = rows.join(hubs, F.col(key) == F.col("hub"), "left")
+        parts = F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1)
+        return marked.select(*rows.columns, F.explode(parts).alias("part"))
+
     def _degrees(self, by: str) -> DataFrame:
         counted = self.edges.groupBy(F.col(by).alias("id")).agg(F.count("*").alias("degree"))
         return self.vertices.join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))

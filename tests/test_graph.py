@@ -4,6 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import model
+from skein.checkpoints import Rounds
+from skein.operators import engine
+from skein.operators import graph as graph_module
 from skein.operators import EdgeMapper, Graph, NodeMapper, NodeSubset, bfs, connected_components, fill, node_filter, node_map, page_rank_delta, relationship_map, tabulate, top_ranked
 
 GRAPHS = {
@@ -140,3 +143,62 @@ def test_plans(spark):
     joined = g.out_view.join(F.broadcast(spark.range(2)), F.col("src") == F.col("id"))
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     g.unpersist()
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_rounds_of_changed_rows(spark, monkeypatch, small):
+    """Long paths, a star and a cycle: with tables of changed rows, merged now and then, as with whole tables."""
+    monkeypatch.setattr(engine, "SMALL_NODES", small)
+    monkeypatch.setattr(engine, "FOLD", 2)
+    edges = [(i, i + 1) for i in range(11)] + [(20, 20 + i) for i in range(1, 9)] + [(30, 31), (31, 32), (32, 30)] + [(11, 20), (28, 39)]
+    n = 40
+    g = make(spark, n, edges * 3 + [(39, 39)])
+    for way in ("push", "auto"):
+        assert {r.id: (r.parent, r.depth) for r in bfs(g, 0, way).collect()} == model.bfs(n, edges, 0)
+    assert {r.id: r.label for r in connected_components(g, direction="push").collect()} == model.labels(n, edges)
+
+
+def test_versions(spark, monkeypatch):
+    monkeypatch.setattr(engine, "FOLD", 2)
+    rounds = Rounds(spark, "t")
+    rows = {i: i for i in range(100)}
+    states = engine.Versions(rounds, rounds.cut(spark.range(100).selectExpr("id", "id as x"))[0], 100)
+    for k in range(9):
+        new = {i: 1000 * k + i for i in range(k, k + 4)}
+        rows |= new
+        front = rounds.cut(spark.createDataFrame([*new.items()], "id long, x long"))[0]
+        states.add(front, len(new))
+        assert {r.id: r.x for r in front.collect()} == new  # still there: it is the frontier
+        assert {r.id: r.x for r in states.all().collect()} == rows
+        got = spark.createDataFrame([(i, -i) for i in range(0, 100, 3)], "dst long, m long")
+        assert {r.id: (r.x, r.m) for r in states.met(got).collect()} == {i: (rows[i], -i) for i in range(0, 100, 3)}
+
+
+def test_hubs_are_dealt_over_partitions(spark, monkeypatch):
+    """Most edges leave one node and enter another: no partition of a view holds them all, and nothing changes."""
+    monkeypatch.setattr(graph_module, "PART_EDGES", 100)
+    edges = [(0, i) for i in range(1, 300)] + [(i, 299) for i in range(1, 299)]
+    g = make(spark, 300, edges)
+    for view in (g.out_view, g.in_view):
+        sizes = [r.n for r in view.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 3 and max(sizes) < 0.6 * len(edges)
+    hits = EdgeMapper(message=lambda: F.lit(1), combine=F.sum, apply=lambda: {"hits": F.col("m")}, check=lambda: F.col("id") > 250)
+    state = g.vertices.withColumn("hits", F.lit(0).cast("long"))
+    for limit in (0, 10**6):  # by shuffle and by broadcast
+        monkeypatch.setattr(engine, "BROADCAST_ROWS", limit)
+        for way in ("push", "pull"):
+            new, front = relationship_map(g, state, NodeSubset.full(spark, 300), hits, way)
+            assert {r.id: r.hits for r in new.where("hits > 0").collect()} == {i: 1 for i in range(251, 299)} | {299: 299}
+            assert front.subset_count == 49
+    plan = engine.messages(g, state, hits, "pull", None, engine.open_targets(state, hits))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [dst") < plan.index("LeftSemi")  # the check is below the aggregate
+    g.unpersist()
+
+
+def test_trusted_counts(spark):
+    """A count that is given is taken as it is, without a job."""
+    s = NodeSubset.sparse(spark, 50, spark.range(5), count=5)
+    assert (s.subset_count, s.is_empty, len(s)) == (5, False, 5) and [*s] == [0, 1, 2, 3, 4]
+    d = NodeSubset.dense(spark, 50, spark.range(50).selectExpr("id", "id % 10 = 3 as active"), count=5)
+    assert d.subset_count == 5 and d.node(1) == 13 and [*d.to_sparse()] == [3, 13, 23, 33, 43]
+    assert NodeSubset.sparse(spark, 50, spark.range(5), count=7).subset_count == 7
