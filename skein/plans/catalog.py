@@ -11,13 +11,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from .. import operators as ops
-from ..checkpoints import base
+from ..checkpoints import base, forget_at_exit
 from ..operators import EdgeMapper, Graph, NodeMapper, NodeSubset
 from ..operators.engine import degree_sum, is_dense
 from ..operators.graph import csr_degrees
 from ..session import ship
-from ..sources import read_adjacency, read_binary, read_graph, write_adjacency, write_binary, write_graph
+from ..sources import convert, read_adjacency, read_binary, read_graph, write_adjacency, write_binary, write_graph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -193,6 +194,7 @@ def _one_hop(spark, sf_dir, direction):
     state = g.vertices.withColumn("hits", F.lit(0).cast("long"))
     mapper = EdgeMapper(message=lambda: F.lit(1), combine=F.sum, apply=lambda: {"hits": F.col("m")}, check=lambda: F.col("id") % 2 == 1)
     new, frontier = ops.relationship_map(g, state, _seeds(g), mapper, direction)
+    g.unpersist()
     return new.join(frontier.nodes(), "id", "left_semi").select("id", F.col("hits").cast("long").alias("hits"))
 
 
@@ -219,7 +221,9 @@ def relationship_map_no_output(spark, sf_dir):
     g = part_hop(spark, sf_dir)
     state = g.vertices.withColumn("value", F.lit(0).cast("long"))
     mapper = EdgeMapper(message=lambda: F.lit(1), combine=F.sum, apply=lambda: {"value": F.col("m")}, has_output=False)
-    return ops.relationship_map(g, state, _seeds(g), mapper)[0]
+    out = ops.relationship_map(g, state, _seeds(g), mapper)[0]
+    g.unpersist()
+    return out
 
 
 @query(f"with {_HOP} select id, case when id % 7 = 0 then id * 2 + 1 else id end as value from v")
@@ -332,6 +336,7 @@ def prd_published_k3(spark, sf_dir):
 def top_rank(spark, sf_dir):
     g = part_hop(spark, sf_dir)
     ranks = ops.page_rank_delta(g, 1, "published").select("id", _rounded())
+    g.unpersist()
     return ops.top_ranked(ranks, 20)
 
 
@@ -342,30 +347,132 @@ def _scratch(spark, name: str) -> str:
     import uuid
 
     at = base(spark)
-    return f"{at if '://' in at else 'file://' + at}/skein/{name}-{uuid.uuid4().hex}"
+    path = f"{at if '://' in at else 'file://' + at}/skein/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    forget_at_exit(spark, path)
+    return path
 
 
-def _round_trip(spark, sf_dir, suffix, write, read):
-    from pyarrow import fs
-
-    path = _scratch(spark, "graph") + suffix
-    if suffix:
-        fsys, p = fs.FileSystem.from_uri(path)
-        fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
+def _round_trip(spark, sf_dir, name, write, read):
+    path = f"{_scratch(spark, 'graph')}/{name}"
     write(part_hop(spark, sf_dir), path)
     return read(spark, path).edges
 
 
 @query(_EDGES)
 def adjacency_text_roundtrip(spark, sf_dir):
-    return _round_trip(spark, sf_dir, ".adj", write_adjacency, read_adjacency)
+    return _round_trip(spark, sf_dir, "g.adj", write_adjacency, read_adjacency)
 
 
 @query(_EDGES)
 def binary_roundtrip(spark, sf_dir):
-    return _round_trip(spark, sf_dir, ".csr", write_binary, read_binary)
+    return _round_trip(spark, sf_dir, "g.csr", write_binary, read_binary)
 
 
 @query(_EDGES)
 def parquet_roundtrip(spark, sf_dir):
-    return _round_trip(spark, sf_dir, "", write_graph, read_graph)
+    return _round_trip(spark, sf_dir, "g", write_graph, read_graph)
+
+
+@query(_EDGES)
+def parse_text_to_parquet(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "g.adj", write_adjacency, lambda s, path: convert(s, path, path + ".parquet"))
+
+
+@query("select n_regionkey::bigint as src, ((select count(*) from region) + n_nationkey)::bigint as dst from nation")
+def graph_from_adjacency(spark, sf_dir):
+    regions = _table(spark, sf_dir, "region").count()
+    rows = _table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").collect()  # 25 rows at every scale
+    lists = [[] for _ in range(regions + len(rows))]
+    for r in rows:
+        lists[r.n_regionkey].append(regions + r.n_nationkey)
+    return Graph.from_adjacency(spark, lists).edges
+
+
+@query(f"with {_HOP} select * from (values ('sparse', (select count(*) from v where id % 7 = 0)), ('dense', (select count(*) from v where id % 3 = 0)), ('default', 0::bigint)) t(kind, members)")
+def subset_trusted_counts(spark, sf_dir):
+    """Counts that are given are not counted again."""
+    g = part_hop(spark, sf_dir)
+    n = g.num_nodes
+    sparse = NodeSubset.sparse(spark, n, g.vertices.where("id % 7 = 0"), count=-(-n // 7))
+    dense = NodeSubset.dense(spark, n, g.vertices.select("id", (F.col("id") % 3 == 0).alias("active")), count=-(-n // 3))
+    made = {"sparse": sparse, "dense": dense, "default": NodeSubset.empty(spark)}
+    return spark.createDataFrame([(k, s.subset_count) for k, s in made.items()], "kind string, members long")
+
+
+@query(f"with {_HOP}, s as (select id, row_number() over (order by id) - 1 as place from v where id % 7 = 0) select place, id from s where place in (0, 1, 20)")
+def subset_node_at(spark, sf_dir):
+    seeds = _seeds(part_hop(spark, sf_dir))
+    return spark.createDataFrame([(i, seeds.node(i)) for i in (0, 1, 20)], "place long, id long")
+
+
+@query(f"with {_HOP} select row_number() over (order by id) - 1 as place, id from v where id % 7 = 0")
+def subset_iterate(spark, sf_dir):
+    return spark.createDataFrame([*enumerate(_seeds(part_hop(spark, sf_dir)))], "place long, id long")
+
+
+def _command(spark, graph: Graph, verb: str, *flags: str) -> DataFrame:
+    """What a command of the command line saves for a stored graph."""
+    path = _scratch(spark, "command")
+    write_graph(graph, f"{path}/graph")
+    cli.main([verb, f"{path}/graph", "--save", f"{path}/out", *flags])
+    return spark.read.parquet(f"{path}/out")
+
+
+@query(f"with recursive {_SYM}, {_LABELS} select id, label from l")
+def command_cc_symmetrize(spark, sf_dir):
+    return _command(spark, cust_part(spark, sf_dir), "cc", "--symmetrize")
+
+
+@query(f"with recursive {_HOP}, {_LEVELS} select v.id, dd.dep::int as depth from v left join dd on dd.id = v.id")
+def command_bfs(spark, sf_dir):
+    g = part_hop(spark, sf_dir)
+    return _command(spark, g, "bfs", "-s", str(_root(g))).select("id", "depth")
+
+
+@query(_published(2) + " select id, round(rank + 1e-10, 6) as rank from s2")
+def command_prd(spark, sf_dir):
+    return _command(spark, part_hop(spark, sf_dir), "prd", "-i", "2", "--mode", "published").select("id", _rounded())
+
+
+# --- The same on all of lineitem: few targets with very many edges each.
+
+@query(f"with {_SUPP} select id, count(s) as degree from v left join e on s = id group by id")
+def whole_out_degrees(spark, sf_dir):
+    return part_supp(spark, sf_dir).out_degrees()
+
+
+@query(f"with {_SUPP} select id, count(s)::bigint as value from v left join e on d = id group by id")
+def whole_relationship_map(spark, sf_dir):
+    g = part_supp(spark, sf_dir)
+    state = g.vertices.withColumn("value", F.lit(0).cast("long"))
+    mapper = EdgeMapper(message=lambda: F.lit(1), combine=F.sum, apply=lambda: {"value": F.col("m")})
+    out = ops.relationship_map(g, state, NodeSubset.full(spark, g.num_nodes), mapper)[0]
+    g.unpersist()
+    return out
+
+
+@query(f"with {_SUPP}, r as (select min(s) as r from e), x as (select distinct d from e, r where s = r) select id, case when id = r or id in (select d from x) then r end as parent from v, r")
+def whole_bfs_parents(spark, sf_dir):
+    """Edges lead from parts to suppliers: a root reaches its own suppliers only."""
+    g = part_supp(spark, sf_dir)
+    out = ops.bfs(g, _root(g)).select("id", "parent")
+    g.unpersist()
+    return out
+
+
+@query(f"with {_SUPP} select id, least(id, coalesce(min(s), id)) as label from v left join e on d = id group by id")
+def whole_cc_directed(spark, sf_dir):
+    g = part_supp(spark, sf_dir)
+    out = ops.connected_components(g)
+    g.unpersist()
+    return out
+
+
+@query(_REFERENCE.replace(_HOP, _SUPP))
+def whole_prd_reference(spark, sf_dir):
+    g = part_supp(spark, sf_dir)
+    out = ops.page_rank_delta(g, 10, "reference").select("id", _rounded())
+    g.unpersist()
+    return out

@@ -3,7 +3,7 @@ import pytest
 
 from skein.plans import catalog
 
-TABLES = ("customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
 @pytest.fixture(scope="module")
