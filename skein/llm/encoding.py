@@ -52,11 +52,11 @@ class Encoder:
         self.plain = re.compile(f"[{_LATIN}{_SIGNS}\n]+").fullmatch
         self.parts = re.compile(f"[{_LATIN}]+|[{_SIGNS}]+|\n").findall
         self.bytes = _byte_level()
+        self.ends = {c: self._whole(c) for c in ".,;:!?"}
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         # How each added token begins, up to its first letter or digit: no normalizer makes such signs from others.
-        marks = {re.match(r"[^\w\s;`]*", t["content"]).group() for t in kind.get("added_tokens") or ()}
-        self.added = re.compile("|".join(map(re.escape, sorted(marks)))).search if marks else None
+        self.added = sorted({re.match(r"[^\w\s;`]*", t["content"]).group() for t in kind.get("added_tokens") or ()})
         steps = kind.get("pre_tokenizer") or {}
         # Which of the two known patterns this is; for any other the short cut is off.
         self.spaced = steps.get("type") == "ByteLevel" and steps.get("use_regex") and not steps.get("add_prefix_space") and not kind.get("normalizer")
@@ -94,8 +94,12 @@ class Encoder:
         """Ids of `` piece`` for each new piece."""
         found, hard = {}, []
         short = (self.spaced or self.folded) and sys.byteorder == "little"
+        cached, ends = self.cache.get, self.ends if short else ()
         for p in pieces:
-            if short and self.plain(p) and p[0] != "\n" and "\n\n" not in p:
+            # A known word and a sign: the sign is cut off a letter by either pattern.
+            if p[-1] in ends and p[-2:-1].isalpha() and (ids := cached(p[:-1]) or found.get(p[:-1])) is not None:
+                found[p] = ids + self.ends[p[-1]]
+            elif short and self.plain(p) and p[0] != "\n" and "\n\n" not in p:
                 found[p] = self._plain(p, found)
             else:
                 hard.append(p)
@@ -126,7 +130,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
-            elif t[0] == " " or t[-1] == " " or self.odd(t) or (self.added and self.added(t)):
+            elif t[0] == " " or t[-1] == " " or self.odd(t) or any(a in t for a in self.added):
                 out[i] = self._whole(t)
             else:
                 pieces = t.split(" ")

@@ -69,12 +69,19 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def place(vector: np.ndarray, n_tokens: int) -> np.ndarray:
-    """Grid point of a projected document: the mean direction of its tokens, whatever its length."""
-    scaled = SCALE * vector / max(1, n_tokens)
+def place(vectors: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+    """Grid points of projected documents: the mean direction of a text's tokens, whatever its length."""
+    scaled = SCALE * vectors / np.maximum(1, n_tokens)[:, None]
     return np.clip((np.tanh(scaled) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
 
 
+def project(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """Sums of the directions of each document's ids (none is empty), by dimension; a document's bits depend on it alone."""
+    flat = np.concatenate(ids)
+    starts = np.cumsum([0, *map(len, ids[:-1])])
+    return np.stack([np.add.reduceat(np.take(t, flat), starts, dtype=np.float64) for t in table.T], 1)
+
+
 def range_bounds(tokens: DataFrame, parts: int) -> list[int]:
     """Bounds of ``parts`` ranges of ``pos`` with like sums of ``n``, from about POINTS drawn documents a range.
 
@@ -112,14 +119,14 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer)
-        table = signs(enc.tok.get_vocab_size())
+        table = np.asfortranarray(signs(enc.tok.get_vocab_size()))
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             at = 0
             for group in encoding.groups(shared.texts(batch.column(1))):
                 raw = [r + end for r in enc.encode(group)]
                 sizes = [len(r) // enc.dtype.itemsize for r in raw]
-                points = np.stack([place(table[np.frombuffer(r, enc.dtype)].sum(0, dtype=np.float64), n) for r, n in zip(raw, sizes)])
+                points = place(project([np.frombuffer(r, enc.dtype) for r in raw], table), np.array(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hilbert(points)), batch.column(0).slice(at, len(raw)), pa.array(sizes, pa.int64()), pa.array([enc.dtype.itemsize] * len(raw), pa.int32()), pa.array(raw, pa.binary())],
                     ["key", "id", "n", "width", "ids"],
@@ -145,22 +152,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     ordered = tokens.select("id", "n", "width", "ids", pos.alias("pos")).withColumn("part", range_of(F.col("pos"), bounds))
     ordered = ordered.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "pos", "id", "ids")
 
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = -1, 0
-        for batch in batches:
-            size, part = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            start = at + np.cumsum(size) - size
-            for i in np.flatnonzero(np.diff(part, prepend=now)).tolist():  # another range begins
-                start[i:] -= start[i]
-            now, at = part[-1], int(start[-1] + size[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], ["id", "n", "width", "ids", "part", "at"])
-
-    # Every row carries its place in its range, so the table is read back in any order and any splits.
-    laid = shared.map_arrow(ordered.select("id", "n", "width", "ids", "part"), lay, "id long, n long, width int, ids binary, part int, at long")
-    laid = shared.materialize(laid, "laid-tokens")
-    shared.release(tokens)
-    # A row a range: the tokens before each range are known once all are counted.
-    sums = {r.part: r.n for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    # A row a range: the tokens before each range are known before any is laid.
+    sums = {r.part: r.n for r in tokens.select("n", range_of(pos, bounds).alias("part")).groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, total = {}, 0
     for p in sorted(sums):
         before[p] = total
@@ -168,11 +161,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
         for batch in batches:
-            doc, size, width, ids, part, begin = (batch.column(i) for i in range(6))
+            doc, size, width, ids, part = (batch.column(i) for i in range(5))
             out = []
-            for d, n_ids, w, raw, p, b in zip(doc.to_pylist(), size.to_pylist(), width.to_pylist(), shared.texts(ids), part.to_pylist(), begin.to_pylist()):
-                at = before[p] + b
+            for d, n_ids, w, raw, p in zip(doc.to_pylist(), size.to_pylist(), width.to_pylist(), shared.texts(ids), part.to_pylist()):
+                if p != now:  # another range begins
+                    now, at = p, before[p]
                 data = np.frombuffer(raw, f"<u{w}").astype("<u4")
                 done = 0
                 while done < n_ids:
@@ -188,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     ddl = fields + (", ids array<long>" if with_ids else "")
     names = shared.schema_of(ddl).names
-    return shared.map_arrow(laid, run, ddl)
+    return shared.map_arrow(ordered.select("id", "n", "width", "ids", "part"), run, ddl)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
