@@ -83,8 +83,8 @@ def links_within(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
 
 
 def _prints(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """(id, node, fp, keys) of each row; node is the text's md5. Texts stay where they are."""
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("node"), F.col(text).alias("t"))
+    """(id, m, fp, keys) of each row; m is the text's md5. Texts stay where they are."""
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("m"), F.col(text).alias("t"))
 
     def start():
         multipliers = _multipliers(BANDS * ROWS)
@@ -134,7 +134,7 @@ def _compare(dealt: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
         def done():
             tree = links_within(sets, similarity) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes_[i] for i, _ in tree], pa.string()), pa.array([nodes_[j] for _, j in tree], pa.string())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes_[i] for i, _ in tree], pa.int64()), pa.array([nodes_[j] for _, j in tree], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for cell, node, t in zip(*(shared.texts(col) for col in batch.columns)):
@@ -149,7 +149,7 @@ def _compare(dealt: DataFrame, shingle: int, similarity: float) -> DataFrame:
         if sets:
             yield done()
 
-    return shared.materialize(shared.map_arrow(dealt, compare, "a string, b string"), "similar-links")
+    return shared.materialize(shared.map_arrow(dealt, compare, "a long, b long"), "similar-links")
 
 
 def _cell(*parts):
@@ -202,7 +202,7 @@ def _open_cells(large: DataFrame, buckets: DataFrame, links: DataFrame) -> DataF
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, node and group of each row: the md5 of its text, and of a text of its group; the empty text's for null.
+    """id, m and group of each row: the md5 of its text (the empty one's for null), and a name that the texts of its group share.
 
     Only pairs compared exactly at ``similarity`` or more are links. Equal texts are one
     node; wordless ones have no links. An empty table gives no rows.
@@ -210,36 +210,35 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     spark = docs.sparkSession
     shared.ship(spark)
     prints = shared.materialize(_prints(docs, id_col, text, shingle), "shingle-keys")
-    nodes = prints.where("fp is not null").groupBy("node").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = shared.materialize(nodes, "similar-nodes")
+    nodes = prints.where("fp is not null").groupBy("m").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    # Numbered where they are written, so that no two texts share a number and all that follows is on whole numbers.
+    nodes = shared.materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
     buckets = shared.materialize(_buckets(nodes), "similar-buckets")
     found = shared.materialize(_clusters(buckets).select("node", F.col("component_id").alias("c")), "similar-clusters")
     # Only clusters of several tiles need their size: at most one in TILE texts is such a row.
     big = found.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
     big = shared.materialize(big.select(F.col("c").alias("k"), F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "similar-sizes")
-    sized = found.join(_small(big), F.col("c") == F.col("k"), "left").select("node", "c", F.coalesce("tiles", F.lit(1)).alias("tiles"))
-    placed = sized.join(nodes.select(F.col("node").alias("m"), "owner"), F.col("node") == F.col("m")).drop("m")
+    sized = found.join(_small(big), F.col("c") == F.col("k"), "left").select(F.col("node").alias("x"), "c", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+    names = nodes.select("node", F.col("m").alias("md5"), "owner")
+    placed = shared.materialize(sized.join(names, F.col("x") == F.col("node")).drop("x"), "similar-placed")
     # One row of each text: the one with its least id.
     texts = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("m"), F.col(text).alias("t"))
-    same = (F.col("m") == F.col("node")) & F.col("id").eqNullSafe(F.col("owner"))
-    if big.isEmpty():
-        held = texts.join(placed, same)
-        links = [_compare(held.select(F.col("c").alias("cell"), "node", "t"), shingle, similarity)]
-    else:
-        placed = shared.materialize(placed, "similar-placed")
-        held = texts.join(placed, same)
-        # Pivots are found in the table without texts; texts join once.
-        links = [_compare(_first_links(held, placed), shingle, similarity)]
-        cells = _open_cells(placed.where("tiles > 1"), buckets, links[0])
-        if cells is not None:
-            again = texts.join(cells.join(placed.select(F.col("node").alias("n"), "owner"), F.col("node") == F.col("n")).drop("n"), same)
-            links.append(_compare(again.select(F.explode("cells").alias("cell"), "node", "t"), shingle, similarity))
-    linked = links[0] if len(links) == 1 else links[0].union(links[1])
-    linked = shared.materialize(components(linked), "similar-groups")
-    for table in (nodes, buckets, found, *links):
+    same = (F.col("m") == F.col("md5")) & F.col("id").eqNullSafe(F.col("owner"))
+    held = texts.join(placed, same)
+    large = not big.isEmpty()
+    dealt = _first_links(held, placed) if large else held.select(F.col("c").alias("cell"), "node", "t")
+    links = [_compare(dealt, shingle, similarity)]
+    cells = _open_cells(placed.where("tiles > 1"), buckets, links[0]) if large else None
+    if cells is not None:
+        again = texts.join(cells.withColumnRenamed("node", "x").join(names, F.col("x") == F.col("node")), same)
+        links.append(_compare(again.select(F.explode("cells").alias("cell"), "node", "t"), shingle, similarity))
+    linked = components(links[0] if len(links) == 1 else links[0].union(links[1])).withColumnRenamed("node", "x")
+    linked = linked.join(names, F.col("x") == F.col("node")).select("md5", F.col("component_id").cast("string").alias("group"))
+    linked = shared.materialize(linked, "similar-groups")
+    for table in (nodes, buckets, found, big, placed, *links):
         shared.release(table)
-    out = prints.select("id", F.coalesce("node", F.md5(F.lit("").cast("binary"))).alias("m")).join(linked, F.col("m") == F.col("node"), "left")
-    return out.select("id", F.col("m").alias("node"), F.coalesce("component_id", "m").alias("group"))
+    out = prints.select("id", F.coalesce("m", F.md5(F.lit("").cast("binary"))).alias("m")).join(linked, F.col("m") == F.col("md5"), "left")
+    return out.select("id", "m", F.coalesce("group", "m").alias("group"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -249,17 +248,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     :func:`groups` join. Of rows equal in id and text any one stays. An id that stands in
     several groups can stay in each.
     """
-    units = groups(docs, id_col, text, shingle, similarity).groupBy("id", "node").agg(F.first("group").alias("group"), F.count("*").alias("n"))
-    least = F.struct(F.isnull("id").alias("z"), "id", "node")
+    units = groups(docs, id_col, text, shingle, similarity).groupBy("id", "m").agg(F.first("group").alias("group"), F.count("*").alias("n"))
+    least = F.struct(F.isnull("id").alias("z"), "id", "m")
     kept = units.groupBy("group").agg(F.min(F.struct(least.alias("least"), "n")).alias("top"))
-    kept = kept.select(F.col("top.least.id").alias("kept_id"), F.col("top.least.node").alias("kept_node"), F.col("top.n").alias("kept_n"))
+    kept = kept.select(F.col("top.least.id").alias("kept_id"), F.col("top.least.m").alias("kept_md5"), F.col("top.n").alias("kept_n"))
     kept = shared.materialize(kept, "kept")
-    node = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (node == F.col("kept_node"))
+    md5 = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (md5 == F.col("kept_md5"))
     out = docs.join(kept.where("kept_n = 1"), same, "left_semi")
     repeated = kept.where("kept_n > 1")
     if repeated.isEmpty():
         return out
     # The few rows that are listed several times: their aggregate leaves one before the exchange.
-    more = docs.join(repeated.select("kept_id", "kept_node"), same, "left_semi").withColumn("_node", node)
-    return out.union(more.dropDuplicates([id_col, "_node"]).drop("_node"))
+    more = docs.join(repeated.select("kept_id", "kept_md5"), same, "left_semi").withColumn("_md5", md5)
+    return out.union(more.dropDuplicates([id_col, "_md5"]).drop("_md5"))

@@ -104,30 +104,35 @@ def _unit(id_col: str, text: str):
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    """(id, unit, h1, h2, again): each document's distinct runs, and whether its text has one more than once. Null and short texts have none."""
+    """(id, unit, h1, h2): each document's distinct runs. Null and short texts have none.
+
+    A document with a run that its own text repeats has one more row, without a hash.
+    """
     shared.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), _unit(id_col, text).alias("unit"), F.col(text).alias("text"))
     ids = rows.schema["id"].dataType.simpleString()
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, found, twice, held = [], [], [], 0
+            where, found, repeats, held = [], [], [], 0
             for i, t in enumerate(shared.texts(batch.column(2))):
                 if t:
-                    h, n = np.unique(run_hashes(pieces(t, max_words), run, min_words)[2], axis=0, return_counts=True)
+                    every = run_hashes(pieces(t, max_words), run, min_words)[2]
+                    h = np.unique(every, axis=0)
                     where.append(np.full(len(h), i))
                     found.append(h)
-                    twice.append(n > 1)
                     held += len(h)
+                    if len(h) < len(every):
+                        repeats.append(i)
                 if held > 200_000 or i == batch.num_rows - 1:
                     if held:
-                        h, at = np.concatenate(found), pa.array(np.concatenate(where))
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(at), batch.column(1).take(at), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.concatenate(twice))], ["id", "unit", "h1", "h2", "again"]
-                        )
-                    where, found, twice, held = [], [], [], 0
+                        h, none = np.concatenate(found), pa.nulls(len(repeats), pa.int64())
+                        at = pa.array(np.concatenate([*where, np.array(repeats, np.int64)]))
+                        hashes = [pa.concat_arrays([pa.array(h[:, c]), none]) for c in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *hashes], ["id", "unit", "h1", "h2"])
+                    where, found, repeats, held = [], [], [], 0
 
-    return shared.map_arrow(rows, f, f"id {ids}, unit long, h1 long, h2 long, again boolean")
+    return shared.map_arrow(rows, f, f"id {ids}, unit long, h1 long, h2 long")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
@@ -141,13 +146,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int
     its first occurrence too.
     """
     found = shared.materialize(spans(docs, id_col, text, run, min_words, max_words), "spans")
+    runs = found.where("h1 is not null")
+    first = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    first = first.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    met = runs.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     # Null ids come last: they never own a span while a row with an id has it.
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("unit").alias("first_unit")).where("n > 1")
-    first = first.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", "first_unit")
-    owner = F.col("id").eqNullSafe(F.col("first")) & (F.col("id").isNotNull() | (F.col("unit") == F.col("first_unit")))
-    later = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~owner).select("id", "unit", F.struct("h1", "h2").alias("span"))
+    later = met.where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "unit", F.struct("h1", "h2").alias("span"))
+    if not runs.where("id is null").isEmpty():
+        # Spans of documents without ids only: the one of least unit keeps them.
+        alone = met.where("first is null")
+        owner = alone.groupBy("g1", "g2").agg(F.min("unit").alias("least")).withColumnsRenamed({"g1": "o1", "g2": "o2"})
+        alone = alone.join(owner, (F.col("g1") == F.col("o1")) & (F.col("g2") == F.col("o2"))).where("unit <> least")
+        later = later.union(alone.select("id", "unit", F.struct("h1", "h2").alias("span")))
     # A text with a repeat of its own is cut again too, even if it owns its spans.
-    own = found.where("again").select("id", "unit").distinct().withColumn("span", F.lit(None).cast("struct<h1:bigint,h2:bigint>"))
+    own = found.where("h1 is null").select("id", "unit", F.lit(None).cast("struct<h1:bigint,h2:bigint>").alias("span"))
     gone = later.union(own).groupBy("id", "unit").agg(F.collect_set("span").alias("gone")).select(F.col("id").alias("gone_id"), F.col("unit").alias("gone_unit"), "gone")
     gone = shared.materialize(gone, "repeated-spans")
     shared.release(found)
