@@ -36,7 +36,8 @@ def _byte_level() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian unsigned 16- or 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = CACHE):
+        self.keep = keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -155,16 +156,16 @@ class Encoder:
                 for k, p in zip(holes, missing):
                     got[k] = found[p]
                 out[i] = b"".join(got)
-            if len(self.cache) < CACHE:
+            if len(self.cache) < self.keep:
                 self.cache.update([(p, b) for p, b in found.items() if len(p) <= LONGEST])
         return out
 
 
-def encoder(path: str):
-    """One encoder a worker process and path."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, keep: int = CACHE):
+    """One encoder a worker process, path and number of pieces kept."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = Encoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
 def forget() -> None:
@@ -172,7 +173,7 @@ def forget() -> None:
     _ENCODERS.clear()
 
 
-def groups(texts, most: int = 4_000_000):
+def groups(texts, most: int = 1_000_000):
     """Consecutive texts in lists of about ``most`` characters."""
     part, n = [], 0
     for t in texts:

@@ -112,13 +112,13 @@ def range_of(pos, bounds: list[int]):
     return (F.least(full * step, F.lit(len(bounds))) + F.coalesce(F.when(rest.isNotNull(), among(rest)), F.lit(0))).cast("int")
 
 
-def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int, keep: int = encoding.CACHE) -> DataFrame:
     """(key, id, n, ids): tokens of each document and its place on the curve."""
     shared.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding.encoder(tokenizer)
+        enc = encoding.encoder(tokenizer, keep)
         table = np.asfortranarray(signs(enc.tok.get_vocab_size()))
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
@@ -136,17 +136,17 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int
     return shared.map_arrow(rows, run, "key long, id long, n long, width int, ids binary", encoders=True)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False, partitions: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False, partitions: int | None = None, keep: int = encoding.CACHE) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``with_ids`` adds the piece's ids. Null and empty texts are ``end_id`` alone.
+    ``with_ids`` adds the piece's ids; ``keep`` is how many encoded words a worker remembers. Null and empty texts are ``end_id`` alone.
     Equal keys are ordered by a hash of the id, by id (nulls first), then by ids, so repeated rows are
     laid side by side, each in its own piece. An empty table has no pieces.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The bounds of the ranges are drawn first: a written table is read twice, but texts are encoded once.
-    tokens = shared.materialize(encoded(docs, tokenizer, id_col, text, end_id), "encoded")
+    tokens = shared.materialize(encoded(docs, tokenizer, id_col, text, end_id, keep), "encoded")
     pos = F.shiftleft("key", SPREAD).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << SPREAD) - 1)))
     bounds = range_bounds(tokens.select("id", "n", pos.alias("pos")), n)
     ordered = tokens.select("id", "n", "width", "ids", pos.alias("pos")).withColumn("part", range_of(F.col("pos"), bounds))

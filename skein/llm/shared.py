@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from .. import checkpoints
 from ..session import ship
 
+#: Bytes of an Arrow batch, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -125,8 +127,16 @@ def tidy(encoders: bool = False) -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES: long texts are many rows of memory. A limit the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema, encoders: bool = False) -> DataFrame:
-    """``df.mapInArrow`` whose workers hold no more after a task than before it."""
+    """``df.mapInArrow`` over batches of bounded size, whose workers hold no more after a task than before it."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy(encoders)

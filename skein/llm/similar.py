@@ -224,20 +224,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     # One row of each text: the one with its least id.
     texts = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("m"), F.col(text).alias("t"))
     same = (F.col("m") == F.col("md5")) & F.col("id").eqNullSafe(F.col("owner"))
-    held = texts.join(placed, same)
+    held = texts.join(_small(placed), same)
     large = not big.isEmpty()
     dealt = _first_links(held, placed) if large else held.select(F.col("c").alias("cell"), "node", "t")
     links = [_compare(dealt, shingle, similarity)]
     cells = _open_cells(placed.where("tiles > 1"), buckets, links[0]) if large else None
     if cells is not None:
-        again = texts.join(cells.withColumnRenamed("node", "x").join(names, F.col("x") == F.col("node")), same)
+        cells = shared.materialize(cells.withColumnRenamed("node", "x").join(names, F.col("x") == F.col("node")), "similar-cells")
+        again = texts.join(_small(cells), same)
         links.append(_compare(again.select(F.explode("cells").alias("cell"), "node", "t"), shingle, similarity))
     linked = components(links[0] if len(links) == 1 else links[0].union(links[1])).withColumnRenamed("node", "x")
     linked = linked.join(names, F.col("x") == F.col("node")).select("md5", F.col("component_id").cast("string").alias("group"))
     linked = shared.materialize(linked, "similar-groups")
     for table in (nodes, buckets, found, big, placed, *links):
         shared.release(table)
-    out = prints.select("id", F.coalesce("m", F.md5(F.lit("").cast("binary"))).alias("m")).join(linked, F.col("m") == F.col("md5"), "left")
+    out = prints.select("id", F.coalesce("m", F.md5(F.lit("").cast("binary"))).alias("m")).join(_small(linked), F.col("m") == F.col("md5"), "left")
     return out.select("id", "m", F.coalesce("group", "m").alias("group"))
 
 
@@ -252,13 +253,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     least = F.struct(F.isnull("id").alias("z"), "id", "m")
     kept = units.groupBy("group").agg(F.min(F.struct(least.alias("least"), "n")).alias("top"))
     kept = kept.select(F.col("top.least.id").alias("kept_id"), F.col("top.least.m").alias("kept_md5"), F.col("top.n").alias("kept_n"))
-    kept = shared.materialize(kept, "kept")
+    units, kept = shared.materialize(units, "units"), shared.materialize(kept, "kept")
+    same_unit = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("m") == F.col("kept_md5"))
+    gone = units.join(kept, same_unit, "left_anti").select(F.col("id").alias("x_id"), F.col("m").alias("x_md5"))
+    repeated = kept.where("kept_n > 1").select(F.col("kept_id").alias("x_id"), F.col("kept_md5").alias("x_md5"))
+    # What goes is far less than what stays, and is looked up without moving texts where its size allows.
+    away = shared.materialize(gone.union(repeated), "gone")
     md5 = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (md5 == F.col("kept_md5"))
-    out = docs.join(kept.where("kept_n = 1"), same, "left_semi")
-    repeated = kept.where("kept_n > 1")
+    same = F.col(id_col).eqNullSafe(F.col("x_id")) & (md5 == F.col("x_md5"))
+    out = docs.join(_small(away), same, "left_anti")
+    shared.release(units)
     if repeated.isEmpty():
         return out
     # The few rows that are listed several times: their aggregate leaves one before the exchange.
-    more = docs.join(repeated.select("kept_id", "kept_md5"), same, "left_semi").withColumn("_md5", md5)
+    more = docs.join(repeated, same, "left_semi").withColumn("_md5", md5)
     return out.union(more.dropDuplicates([id_col, "_md5"]).drop("_md5"))
