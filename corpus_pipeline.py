@@ -14,6 +14,8 @@ from skein.llm import decontamination, language_id, packing, shared, similar, su
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
+#: Encoded words a worker remembers while it packs: fewer than alone, beside what the stages before have left in memory.
+KEEP = 400_000
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -73,7 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences along the curve."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), keep=KEEP)
 
 
 STAGES = [
