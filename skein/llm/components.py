@@ -2,8 +2,9 @@
 
 Each round links every node's larger neighbours to its least neighbour (large
 star), then its smaller ones (small star). Both are an aggregate and one join on
-a key; a hub's links are pre-aggregated and its join side is split by adaptive
-execution. The link table converges to one star a component in a logarithmic
+a key. A hub's links are pre-aggregated, and its join is one with a broadcast row: of
+all nodes' least neighbours where there are few, else of the hubs', which are fewer than
+the partitions. So a hub's links stay dealt as they are. The link table converges to one star a component in a logarithmic
 number of rounds, each cut by a table in the shared folder.
 """
 
@@ -24,15 +25,15 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """pairs(u, v): links seen from u. Links u's larger (or smaller) neighbours to the least of them all."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-    joined = pairs.join(least, pairs.u == least.k)
+def _star(pairs: DataFrame, large: bool, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """pairs(u, v), at most ``most``: links seen from u. Links u's larger (or smaller) neighbours to the least of them all."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"), "n")
+    joined, keys = shared.join_keys(pairs, least, "u", most)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), keys
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -49,11 +50,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not state[0]:
             break
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-        wide = _star(both, True)
-        # After the large star every link leads from a node to a smaller one.
-        step = shared.materialize(_star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "links")
+        wide, keys = _star(both, True, 2 * state[0])
+        if keys is not None:  # read several times below
+            wide = shared.materialize(wide, "wide")
+        # After the large star every link leads from a node to a smaller one; there are no more links than before.
+        step, more = _star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False, state[0])
+        step = shared.materialize(step, "links")
         now = _digest(step)
-        shared.release(edges)
+        for table in (edges, wide, keys, more):
+            shared.release(table)
         edges, state, before = step, now, state
         if now == before:
             break

@@ -308,8 +308,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     linked = components(trees.union(twins)).withColumnsRenamed({"node": "rep", "component_id": "c"})
     owned = nodes.join(linked, "rep", "left").join(counted, "rep", "left").select("key", "weight", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", "rep").alias("c"))
     owned = shared.materialize(owned, "vector-owners")
-    named = owned.groupBy("c").agg(F.min("least").alias("component_id"))
-    info = owned.join(named, "c").select(F.col("key").alias("k"), (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
+    named = owned.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("size")).withColumnsRenamed({"c": "k", "size": "n"})
+    info = shared.join_keys(owned, named, "c", owned.count())[0].select(F.col("key").alias("k"), (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
     info = shared.materialize(info, "vector-components")
     for table in (groups, reps, links, owned):
         shared.release(table)

@@ -21,6 +21,8 @@ from ..session import ship
 
 #: Bytes of an Arrow batch, unless the session says otherwise.
 BATCH_BYTES = 4 << 20
+#: Tables of up to this many rows, counted or bounded first, are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -50,12 +52,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(df: DataFrame | None) -> None:
     """Delete a table made by :func:`materialize` that no later plan reads."""
     if path := getattr(df, "_skein_path", None):
         delete(df.sparkSession, path)
 
 
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` joined to ``keys`` (k, n, ...) with no task of its own for a hot key; and a table to release later, if any.
+
+    ``k`` is unique, ``n`` is the number of rows that have it (neither is kept) and ``most`` bounds the
+    number of keys. Few keys are broadcast. Of many, those with more rows than a partition's even share are:
+    they are fewer than the partitions, whatever the data. The others are joined by shuffle.
+    """
+    if most <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys.drop("n")), F.col(on) == F.col("k")).drop("k"), None
+    keys = materialize(keys, "keys")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (keys.agg(F.sum("n")).first()[0] or 0) / parts
+    hot, others = keys.where(F.col("n") > share).drop("n"), keys.where(F.col("n") <= share).drop("n")
+    met = rows.join(F.broadcast(hot), F.col(on) == F.col("k"))
+    rest = rows.join(F.broadcast(hot.select("k")), F.col(on) == F.col("k"), "left_anti")
+    return met.union(rest.join(others, F.col(on) == F.col("k"))).drop("k"), keys
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

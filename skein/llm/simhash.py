@@ -110,8 +110,9 @@ def cluster(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) ->
     linked = components(near_pairs(groups.select("fp"), radius))
     linked = shared.materialize(linked, "fingerprint-components")
     owned = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("component_id", "fp").alias("c"))
-    named = owned.groupBy("c").agg(F.min("least").alias("component_id"))
-    return owned.join(named, "c").select("fp", "component_id")
+    owned = shared.materialize(owned, "fingerprint-owners")
+    named = owned.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).withColumnRenamed("c", "k")
+    return shared.join_keys(owned, named, "c", owned.count())[0].select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

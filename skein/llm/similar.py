@@ -114,8 +114,11 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 def _clusters(buckets: DataFrame) -> DataFrame:
     """(node, component_id) of the texts that a key proposes to compare."""
-    first = buckets.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "least")
-    return components(buckets.join(first, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    first = buckets.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    met, keys = shared.join_keys(buckets, first, "key", buckets.count() // 2)
+    out = components(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    shared.release(keys)
+    return out
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -181,9 +184,11 @@ def _open_cells(large: DataFrame, buckets: DataFrame, links: DataFrame) -> DataF
     known = shared.materialize(known, "similar-labels")
     met = buckets.join(known.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("key", "node", "c", "label")
     met = shared.materialize(met, "similar-met")
-    mixed = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("key").alias("k"))
-    open_ = shared.materialize(met.join(mixed, F.col("key") == F.col("k")).select("node", "c", "label").distinct(), "similar-open")
-    shared.release(met)
+    mixed = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 <> l1").select(F.col("key").alias("k"), "n")
+    among_others, keys = shared.join_keys(met, mixed, "key", met.count() // 2)
+    open_ = shared.materialize(among_others.select("node", "c", "label").distinct(), "similar-open")
+    for table in (met, keys):
+        shared.release(table)
     if open_.isEmpty():
         return None
     sizes = open_.groupBy("c", "label").agg(F.count("*").alias("n"))

@@ -34,7 +34,22 @@ def test_materialize_and_release(spark):
     shared.release(df)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_joins_by_hot_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) as g")
+    keys = rows.groupBy(F.col("g").alias("k")).agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    out, table = shared.join_keys(rows, keys, "g", keys.count())
+    assert out.columns == ["id", "g", "least"] and (table is None) == (most > 0)
+    assert sorted(map(tuple, out.collect())) == [(i, 7, 0) if i % 3 == 0 else (i, i, 0 if i == 7 else i) for i in range(3000)]
+    if table is not None:  # only the key of a third of the rows is broadcast
+        hot = table.where(F.col("n") > 3000 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+        assert [r.k for r in hot.collect()] == [7]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
     rng = random.Random(4)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 500 + i) for i in range(1, 40)]
     parent = {}
