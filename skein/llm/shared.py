@@ -58,6 +58,20 @@ def release(df: DataFrame | None) -> None:
         delete(df.sparkSession, path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df``, for a join by shuffle whatever the planner takes its size for.
+
+    The planner reads the size from compressed files and doesn't see what explode makes of a row, so
+    what it takes for a few MB to broadcast can fill the driver.
+    """
+    return df.hint("merge")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, for a broadcast join if its counted size allows, else for one by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else by_shuffle(df)
+
+
 def join_keys(rows: DataFrame, keys: DataFrame, on: str, most: int) -> tuple[DataFrame, DataFrame | None]:
     """``rows`` joined to ``keys`` (k, n, ...) with no task of its own for a hot key; and a table to release later, if any.
 
@@ -73,7 +87,7 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: str, most: int) -> tuple[Dat
     hot, others = keys.where(F.col("n") > share).drop("n"), keys.where(F.col("n") <= share).drop("n")
     met = rows.join(F.broadcast(hot), F.col(on) == F.col("k"))
     rest = rows.join(F.broadcast(hot.select("k")), F.col(on) == F.col("k"), "left_anti")
-    return met.union(rest.join(others, F.col(on) == F.col("k"))).drop("k"), keys
+    return met.union(rest.join(by_shuffle(others), F.col(on) == F.col("k"))).drop("k"), keys
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -96,7 +96,7 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = fps.select("fp", F.explode(F.array_compact(F.array(*near))).alias("cell"))
     left = dealt.select(F.col("fp").alias("a"), "cell")
     right = dealt.select(F.col("fp").alias("b"), F.col("cell").alias("cell_b"))
-    met = left.join(right, (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    met = left.join(shared.by_shuffle(right), (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return met.select("a", "b").distinct()
 
 

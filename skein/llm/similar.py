@@ -30,8 +30,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 7
 #: Texts of a cluster in a tile, and pivots of a larger cluster; a task row group holds two tiles, or one and the pivots.
 TILE, PIVOTS = 512, 32
-#: Tables of up to this many rows, counted first, are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
 _CHUNK, _COLUMNS = 1 << 12, 1 << 12
 
 
@@ -107,7 +105,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     grid = simhash.near_pairs(nodes.select("fp").distinct())
     pair = F.xxhash64(F.lit("pair"), "a", "b")
     ends = grid.select(pair.alias("key"), F.explode(F.array("a", "b")).alias("f"))
-    near = ends.join(nodes.select("node", "fp"), F.col("f") == F.col("fp")).select("node", "key")
+    near = ends.join(shared.small(nodes.select("node", "fp")), F.col("f") == F.col("fp")).select("node", "key")
     bands = nodes.select("node", F.explode("keys").alias("key"))
     return bands.union(nodes.select("node", F.xxhash64(F.lit("print"), "fp").alias("key"))).union(near)
 
@@ -121,11 +119,6 @@ def _clusters(buckets: DataFrame) -> DataFrame:
     return out
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, for a broadcast join if its counted size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _compare(dealt: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) among the texts of each cell; ``dealt`` has cell, node, t."""
     spark = dealt.sparkSession
@@ -167,22 +160,22 @@ def _first_links(held: DataFrame, placed: DataFrame) -> DataFrame:
     """(cell, node, t): whole clusters, and tiles of larger ones with the cluster's pivots in each."""
     pivots = placed.where("tiles > 1").groupBy("c", _own(F.lit(PIVOTS), 1).alias("slot")).agg(F.min("node").alias("pivot")).select("pivot")
     pivots = shared.materialize(pivots, "similar-pivots")
-    marked = held.join(_small(pivots), F.col("node") == F.col("pivot"), "left")
+    marked = held.join(shared.small(pivots), F.col("node") == F.col("pivot"), "left")
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     at = F.when(F.col("pivot").isNotNull(), every).otherwise(F.array(_own(F.col("tiles"))))
     return marked.select("c", "node", "t", F.explode(at).alias("tile")).select(_cell(F.col("c"), F.col("tile")).alias("cell"), "node", "t")
 
 
-def _open_cells(large: DataFrame, buckets: DataFrame, links: DataFrame) -> DataFrame | None:
-    """(node, cells) of the large clusters' texts that meet a text of another group in a bucket; None if there are none.
+def _open_texts(large: DataFrame, buckets: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Of the large clusters, the texts that meet a text of another group in a bucket, for :func:`_open_cells`; None if there are none.
 
     In a cluster the texts of its largest group are dealt to tiles of their own, which need not meet each
     other: only the remaining texts are compared with all. The work grows with the texts of other groups.
     """
     labels = components(links).withColumnsRenamed({"node": "x", "component_id": "label"})
-    known = large.select("node", "c").join(labels, F.col("node") == F.col("x"), "left").select("node", "c", F.coalesce("label", "node").alias("label"))
+    known = large.select("node", "c").join(shared.small(labels), F.col("node") == F.col("x"), "left").select("node", "c", F.coalesce("label", "node").alias("label"))
     known = shared.materialize(known, "similar-labels")
-    met = buckets.join(known.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).select("key", "node", "c", "label")
+    met = buckets.join(shared.small(known.withColumnRenamed("node", "x")), F.col("node") == F.col("x")).select("key", "node", "c", "label")
     met = shared.materialize(met, "similar-met")
     mixed = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 <> l1").select(F.col("key").alias("k"), "n")
     among_others, keys = shared.join_keys(met, mixed, "key", met.count() // 2)
@@ -195,15 +188,19 @@ def _open_cells(large: DataFrame, buckets: DataFrame, links: DataFrame) -> DataF
     most = sizes.groupBy("c").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
     tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
     most = shared.materialize(most.select(F.col("c").alias("k"), F.col("top.label").alias("main"), tiles(F.col("top.n")).alias("mains"), tiles(F.col("all") - F.col("top.n")).alias("others")), "similar-main")
-    placed = open_.join(_small(most), F.col("c") == F.col("k"))
+    placed = open_.join(shared.small(most), F.col("c") == F.col("k"))
     main = F.col("label") == F.col("main")
     own = F.when(main, _own(F.col("mains"))).otherwise(_own(F.col("others")))
-    placed = placed.select("node", "c", main.alias("is_main"), own.alias("own"), "mains", "others")
+    return placed.select("node", "c", main.alias("is_main"), own.alias("own"), "mains", "others")
+
+
+def _open_cells():
+    """All cells of a text of :func:`_open_texts`: hundreds in a large cluster, so they are made where its text is."""
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_main = F.transform(span("others"), lambda i: _cell(F.col("c"), F.lit("m"), i, F.col("own")))
     with_main = F.transform(span("mains"), lambda j: _cell(F.col("c"), F.lit("m"), F.col("own"), j))
     among = F.transform(F.filter(span("others"), lambda j: j != F.col("own")), lambda j: _cell(F.col("c"), F.lit("o"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    return placed.select("node", F.when(F.col("is_main"), as_main).otherwise(F.concat(with_main, among)).alias("cells"))
+    return F.when(F.col("is_main"), as_main).otherwise(F.concat(with_main, among))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,27 +220,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     # Only clusters of several tiles need their size: at most one in TILE texts is such a row.
     big = found.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
     big = shared.materialize(big.select(F.col("c").alias("k"), F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "similar-sizes")
-    sized = found.join(_small(big), F.col("c") == F.col("k"), "left").select(F.col("node").alias("x"), "c", F.coalesce("tiles", F.lit(1)).alias("tiles"))
     names = nodes.select("node", F.col("m").alias("md5"), "owner")
-    placed = shared.materialize(sized.join(names, F.col("x") == F.col("node")).drop("x"), "similar-placed")
+    named = names.join(shared.small(found.withColumnRenamed("node", "x")), F.col("x") == F.col("node"))
+    sized = named.join(shared.small(big), F.col("c") == F.col("k"), "left")
+    placed = shared.materialize(sized.select("c", F.coalesce("tiles", F.lit(1)).alias("tiles"), "node", "md5", "owner"), "similar-placed")
     # One row of each text: the one with its least id.
     texts = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text).cast("binary")).alias("m"), F.col(text).alias("t"))
     same = (F.col("m") == F.col("md5")) & F.col("id").eqNullSafe(F.col("owner"))
-    held = texts.join(_small(placed), same)
+    held = texts.join(shared.small(placed), same)
     large = not big.isEmpty()
     dealt = _first_links(held, placed) if large else held.select(F.col("c").alias("cell"), "node", "t")
     links = [_compare(dealt, shingle, similarity)]
-    cells = _open_cells(placed.where("tiles > 1"), buckets, links[0]) if large else None
-    if cells is not None:
-        cells = shared.materialize(cells.withColumnRenamed("node", "x").join(names, F.col("x") == F.col("node")), "similar-cells")
-        again = texts.join(_small(cells), same)
-        links.append(_compare(again.select(F.explode("cells").alias("cell"), "node", "t"), shingle, similarity))
+    open_ = _open_texts(placed.where("tiles > 1"), buckets, links[0]) if large else None
+    if open_ is not None:
+        open_ = shared.materialize(open_.withColumnRenamed("node", "x"), "similar-open-texts")
+        open_ = shared.materialize(names.join(shared.small(open_), F.col("x") == F.col("node")).drop("x"), "similar-open-names")
+        again = texts.join(shared.small(open_), same)
+        links.append(_compare(again.select(F.explode(_open_cells()).alias("cell"), "node", "t"), shingle, similarity))
     linked = components(links[0] if len(links) == 1 else links[0].union(links[1])).withColumnRenamed("node", "x")
-    linked = linked.join(names, F.col("x") == F.col("node")).select("md5", F.col("component_id").cast("string").alias("group"))
+    linked = names.join(shared.small(linked), F.col("x") == F.col("node")).select("md5", F.col("component_id").cast("string").alias("group"))
     linked = shared.materialize(linked, "similar-groups")
     for table in (nodes, buckets, found, big, placed, *links):
         shared.release(table)
-    out = prints.select("id", F.coalesce("m", F.md5(F.lit("").cast("binary"))).alias("m")).join(_small(linked), F.col("m") == F.col("md5"), "left")
+    out = prints.select("id", F.coalesce("m", F.md5(F.lit("").cast("binary"))).alias("m")).join(shared.small(linked), F.col("m") == F.col("md5"), "left")
     return out.select("id", "m", F.coalesce("group", "m").alias("group"))
 
 
@@ -260,16 +259,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     kept = kept.select(F.col("top.least.id").alias("kept_id"), F.col("top.least.m").alias("kept_md5"), F.col("top.n").alias("kept_n"))
     units, kept = shared.materialize(units, "units"), shared.materialize(kept, "kept")
     same_unit = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("m") == F.col("kept_md5"))
-    gone = units.join(kept, same_unit, "left_anti").select(F.col("id").alias("x_id"), F.col("m").alias("x_md5"))
+    gone = units.join(shared.small(kept), same_unit, "left_anti").select(F.col("id").alias("x_id"), F.col("m").alias("x_md5"))
     repeated = kept.where("kept_n > 1").select(F.col("kept_id").alias("x_id"), F.col("kept_md5").alias("x_md5"))
     # What goes is far less than what stays, and is looked up without moving texts where its size allows.
     away = shared.materialize(gone.union(repeated), "gone")
     md5 = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     same = F.col(id_col).eqNullSafe(F.col("x_id")) & (md5 == F.col("x_md5"))
-    out = docs.join(_small(away), same, "left_anti")
+    out = docs.join(shared.small(away), same, "left_anti")
     shared.release(units)
     if repeated.isEmpty():
         return out
     # The few rows that are listed several times: their aggregate leaves one before the exchange.
-    more = docs.join(repeated, same, "left_semi").withColumn("_md5", md5)
+    more = docs.join(shared.small(repeated), same, "left_semi").withColumn("_md5", md5)
     return out.union(more.dropDuplicates([id_col, "_md5"]).drop("_md5"))
