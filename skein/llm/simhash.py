@@ -109,7 +109,7 @@ def cluster(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) ->
     groups = shared.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
     linked = components(near_pairs(groups.select("fp"), radius))
     linked = shared.materialize(linked, "fingerprint-components")
-    owned = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("component_id", "fp").alias("c"))
+    owned = groups.join(shared.small(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component_id", "fp").alias("c"))
     owned = shared.materialize(owned, "fingerprint-owners")
     named = owned.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).withColumnRenamed("c", "k")
     return shared.join_keys(owned, named, "c", owned.count())[0].select("fp", "component_id")
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints = with_fingerprints(docs.select(F.col(id_col), F.col(text)), text, shingle, drop=[text])
     prints = shared.materialize(prints, "prints")
     groups = shared.materialize(cluster(prints, id_col, radius), "groups")
-    return prints.join(groups.withColumnRenamed("fp", "g"), F.col("fp") == F.col("g")).drop("g")
+    return prints.join(shared.small(groups.withColumnRenamed("fp", "g")), F.col("fp") == F.col("g")).drop("g")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -808,3 +808,17 @@ def test_near_dedup_broadcasts_counted_tables_only(spark, monkeypatch, tile):
     got = []
     assert most_broadcast(spark, lambda: got.extend(similar.keep_first(table).collect())) <= 20
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_kept(rows)
+
+
+def test_simhash_broadcasts_counted_tables_only(spark, monkeypatch):
+    """Fingerprints, their cells and their groups aren't broadcast by the planner's estimate."""
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 20)
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(40)) for _ in range(80)]
+    texts += texts[:30]
+    rows = shared.materialize(docs(spark, texts), "rows")
+    out = []
+    assert most_broadcast(spark, lambda: out.extend(simhash.near_duplicates(rows).collect())) <= 20
+    prints = [brute_print(t) for t in texts]
+    assert all(bin(a ^ b).count("1") > 2 for a in set(prints) for b in set(prints) if a != b)
+    assert sorted((r.doc_id, r.fp, r.component_id) for r in out) == [(i, _signed(f), i % 80) for i, f in enumerate(prints)]
