@@ -55,20 +55,10 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with two benchmark items or more; cut the hit words from the others."""
-    found = decontamination.search(docs.select(*COLUMNS), shared.table(spark, sf_dir, "benchmark"))
+    # Found and cut in one Python worker a task: workers of a second step would stay, and each load the tokenizer of the packing.
+    found = decontamination.search(docs.select(*COLUMNS), shared.table(spark, sf_dir, "benchmark"), cut="text")
     found = found.where(F.size("item_ids") < 2)
-
-    def start():
-        import pyarrow as pa
-
-        def run(cols):
-            cut = [decontamination.cut_spans(t, s) if s else t for t, s in zip(shared.texts(cols[0]), map(lambda v: v.as_py(), cols[1]))]
-            return [pa.array(cut, pa.string())]
-
-        return run
-
-    out = shared.append_columns(found, ["text", "spans"], "text string", start, drop=["spans"])
-    return _with_text(out, F.col("text"))
+    return _with_text(found, F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

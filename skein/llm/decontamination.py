@@ -204,9 +204,10 @@ def _shard(texts: list[str | None], blocks) -> list[tuple]:
     return out
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, drop=(), phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, drop=(), phrase_bytes: int = PHRASE_BYTES, cut: str | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids and merged word spans [start, end).
 
+    ``cut`` names a further column, the text without its hit words; it may be ``text`` itself, which it then replaces.
     Null and empty texts have no words and no hits; null, empty and wordless
     benchmark items match nothing; repeated items count once by item_id; items of null
     id hit words and are no item of a document. Benchmarks
@@ -236,16 +237,19 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
             from .encoding import groups
 
             got = [r for g in groups(shared.texts(cols[0]), SHARD_WORDS * 5) for r in _shard(g, blocks)]
-            return [
+            made = [
                 pa.array([g[0] for g in got], pa.int64()),
                 pa.array([g[1] for g in got], pa.int64()),
                 pa.array([g[2] for g in got], pa.list_(pa.string())),
                 pa.array([g[3] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]
+            if cut:
+                made.append(pa.array([cut_spans(t, g[3]) if g[3] else t for t, g in zip(shared.texts(cols[0]), got)], pa.string()))
+            return made
 
         return run
 
-    ddl = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
+    ddl = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>" + (f", `{cut}` string" if cut else "")
     return shared.append_columns(docs, [text], ddl, start, drop)
 
 

@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline as cp
-from skein.llm import catalog, packing, shared
+from skein.llm import catalog, decontamination, packing, shared
 from skein.llm.decontamination import words
 
 
@@ -69,6 +69,26 @@ def test_near_dedup_tells_rows_apart(spark, sf):
     assert sorted((r.doc_id, r.text) for r in out) == [(1, "x"), (2, "y"), (2, "z")]
 
 
+def test_decontamination_is_one_step(spark, sf):
+    """Texts are cut by the worker that finds the hits: a task holds one Python worker, as in the packing."""
+    from pyspark.sql import functions as F
+
+    bench = shared.table(spark, sf, "benchmark")
+    item = bench.where(F.length("text") > 100).first().text
+    rows = [(1, f"Before it, {item} and after."), (2, "nothing of it"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("lang string", "source string", "n_chars long"):
+        name, kind = c.split()
+        docs = docs.withColumn(name, F.lit(None).cast(kind))
+    out = cp.decontaminate(spark, docs, sf)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {r.doc_id: r for r in decontamination.search(docs, bench, cut="rest").collect()}
+    assert found[1].spans and found[1].text == rows[0][1]
+    want = {k: decontamination.cut_spans(r.text, r.spans) if r.spans else r.text for k, r in found.items()}
+    assert {k: r.rest for k, r in found.items()} == want
+    assert {r.doc_id: r.text for r in out.collect()} == {k: t for k, t in want.items() if len(found[k].item_ids) < 2}
+
+
 def docs_extra():
     from pyspark.sql import functions as F
 
