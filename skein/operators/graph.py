@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 FRACTION = 20
 #: A partition of edges has about this many, if there are no more than partitions.
 PART_EDGES = 50_000
+#: Tables of more rows are joined by shuffle, whatever size the planner takes them for.
+BROADCAST_ROWS = 200_000
 
 
 class Graph:
@@ -54,11 +56,11 @@ class Graph:
 
         Positions are generated in two steps, so that no node's list is one row.
         """
-        spans = csr_degrees(nodes, num_rels).where("degree > 0")
+        spans = csr_degrees(nodes, num_rels, num_nodes).where("degree > 0")
         first, size, step = F.col("offset"), F.col("degree"), F.lit(1 << 16)
         blocks = spans.select("id", "offset", "degree", F.explode(F.sequence(first, first + size - 1, step)).alias("_at"))
         pos = blocks.select(F.col("id").alias("src"), F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + step, first + size) - 1)).alias("pos"))
-        return cls(pos.join(targets, "pos").select("src", "dst"), num_nodes, num_rels)
+        return cls(pos.join(_counted(targets, num_rels), "pos").select("src", "dst"), num_nodes, num_rels)
 
     @cached_property
     def vertices(self) -> DataFrame:
@@ -169,7 +171,12 @@ class Graph:
         return running_start(self.out_degrees(), "degree", "id", "offset", self.num_nodes)
 
 
-def csr_degrees(nodes: DataFrame, num_rels: int) -> DataFrame:
-    """(id, offset, degree) from (id, offset): the next offset less the own one."""
-    nxt = nodes.select((F.col("id") - 1).alias("id"), F.col("offset").alias("next"))
+def _counted(rows: DataFrame, count: int) -> DataFrame:
+    """``rows``, which are ``count``, as a side of a join; rows that a function makes from a few ranges count as few for the planner."""
+    return rows if count <= BROADCAST_ROWS else rows.hint("merge")
+
+
+def csr_degrees(nodes: DataFrame, num_rels: int, num_nodes: int = 0) -> DataFrame:
+    """(id, offset, degree) from (id, offset): the next offset less the own one. ``num_nodes``: rows of ``nodes``, if the planner can't know."""
+    nxt = _counted(nodes.select((F.col("id") - 1).alias("id"), F.col("offset").alias("next")), num_nodes)
     return nodes.join(nxt, "id", "left").select("id", "offset", (F.coalesce("next", F.lit(num_rels)) - F.col("offset")).alias("degree"))

@@ -20,6 +20,7 @@ from ..checkpoints import Rounds
 from ..operators.graph import Graph, csr_degrees
 from ..session import ship
 from . import files
+from .ordered import write_ordered
 
 TAG = b"AdjacencyGraph\n"
 RANGE = 32 << 20
@@ -123,25 +124,19 @@ def read_adjacency(spark: SparkSession, path: str, step: int = RANGE) -> Graph:
     ).first()
     if seen.n < n + m:
         raise ValueError(f"{n + m} numbers expected, {seen.n} found")
-    if seen.start or not csr_degrees(nodes, m).where("degree < 0").isEmpty():
+    if seen.start or not csr_degrees(nodes, m, n).where("degree < 0").isEmpty():
         raise ValueError("offsets must start at 0, never decrease and not exceed the relationship count")
     if seen.targets:
         raise ValueError(f"targets must be in 0..{n - 1}")
     return Graph.from_csr(nodes, targets, n, m)
 
 
+def _lines(batch: pa.RecordBatch) -> bytes:
+    return "".join(f"{v}\n" for v in batch.column(0).to_pylist()).encode()
+
+
 def write_adjacency(graph: Graph, path: str) -> None:
-    """Write adjacency text: one file, streamed to the driver in order (for exchange and tests)."""
-    fsys, p = files.resolve(path)
-    offsets = graph.csr().orderBy("id")
-    targets = graph.edges.orderBy("src", "dst")
-    with fsys.open_output_stream(p, compression=None) as out:
-        out.write(TAG + f"{graph.num_nodes}\n{graph.num_rels}\n".encode())
-        for rows, name in ((offsets, "offset"), (targets, "dst")):
-            lines: list[str] = []
-            for r in rows.select(name).toLocalIterator():
-                lines.append(f"{r[0]}\n")
-                if len(lines) == 50_000:
-                    out.write("".join(lines).encode())
-                    lines = []
-            out.write("".join(lines).encode())
+    """Write adjacency text as one file, in parallel (for exchange and tests); executors must see ``path``."""
+    head = TAG + f"{graph.num_nodes}\n{graph.num_rels}\n".encode()
+    tables = [graph.csr().orderBy("id").select("offset"), graph.edges.orderBy("src", "dst").select("dst")]
+    write_ordered(graph.spark, path, head, tables, _lines, RANGE)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 from ..session import ship
 from . import files
+from .ordered import write_ordered
 
 RANGE = 32 << 20
 
@@ -57,17 +58,15 @@ def read_binary(spark: SparkSession, path: str, step: int = RANGE) -> Graph:
     return Graph.from_csr(nodes.select("id", "offset"), targets, n, m)
 
 
+def _raw(batch: pa.RecordBatch) -> bytes:
+    """The numbers of ``batch`` row by row."""
+    return np.column_stack([c.to_numpy() for c in batch.columns]).astype("<i8").tobytes()
+
+
 def write_binary(graph: Graph, path: str) -> None:
-    """Write the binary form, streamed through the driver in order (for exchange)."""
-    fsys, p = files.resolve(path)
-    with fsys.open_output_stream(p, compression=None) as out:
-        out.write(np.array([graph.num_nodes, graph.num_rels], "<u8").tobytes())
-        for g in (graph, graph.invert()):
-            for rows in (g.csr().orderBy("id").select("degree", "offset"), g.edges.orderBy("src", "dst").select("dst")):
-                held: list[int] = []
-                for r in rows.toLocalIterator():
-                    held.extend(r)
-                    if len(held) >= 100_000:
-                        out.write(np.array(held, "<u8").tobytes())
-                        held = []
-                out.write(np.array(held, "<u8").tobytes())
+    """Write the binary form as one file, in parallel (for exchange); executors must see ``path``."""
+    head = np.array([graph.num_nodes, graph.num_rels], "<u8").tobytes()
+    tables = []
+    for g in (graph, graph.invert()):
+        tables += [g.csr().orderBy("id").select("degree", "offset"), g.edges.orderBy("src", "dst").select("dst")]
+    write_ordered(graph.spark, path, head, tables, _raw, RANGE)
